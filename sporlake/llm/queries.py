@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sporlake.llm.sql import SQL  # noqa: F401
 from sporlake.llm.survivor import surviving_claims
+from sporlake.llm.tokenizer import token_ids
 from sporlake.session import table
 
 
@@ -15,5 +16,9 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return surviving_claims(table(spark, sf, "raw_claims"), table(spark, sf, "evidence"), table(spark, sf, "source_catalog"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found}
+def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return token_ids(table(spark, sf, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p6_ids": p6_ids}
 
