@@ -16,7 +16,7 @@ from sporlake.llm.words import words
 SEED, RARE = 2, 0.0125
 MATCH, MISMATCH, GAP = 2, 1, 1
 #: A passage is a stretch of an item of at least that many words, of which so many and that share are found again.
-PASSAGE, FOUND, SHARE = 12, 10, 0.6
+PASSAGE, FOUND, SHARE = 12, 10, 0.75
 #: Items that are matched in one pass; more items take more passes over the corpus.
 BLOCK = 20_000
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sporlake.llm.leakage import leaked_items
 from sporlake.llm.sql import SQL  # noqa: F401
 from sporlake.llm.survivor import surviving_claims
 from sporlake.llm.tokenizer import token_ids
@@ -20,5 +21,9 @@ def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return token_ids(table(spark, sf, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p6_ids": p6_ids}
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return leaked_items(table(spark, sf, "documents"), table(spark, sf, "eval_items")).select("doc_id", "item_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p6_ids": p6_ids, "p7_found": p7_found}
 
