@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 #: Words and signs that stand for "not known", in lower case.
 NOT_KNOWN = ("", "-", "--", "–", "—", "?", ".", "null", "none", "nil", "nan", "n/a", "na", "n.a.", "#n/a", "unknown", "not known", "not available", "not stated", "undefined", "tbd", "ukjent", "ikke oppgitt", "ikke kjent", "ikke tilgjengelig", "uoppgitt", "mangler")
 
-_BLANKS = r"[\s\p{Z}​⁠﻿]+"
+_BLANKS = r"[\s\p{Z}\u200B\u2060\uFEFF]+"
 
 
 def squeeze(c: Column) -> Column:
     """Lower case, white space of any kind collapsed and trimmed, characters composed; null becomes ''."""
     v = F.coalesce(c, F.lit(""))
     # Only text beyond the Latin blocks can hold a combining mark or a compatibility letter.
-    composed = F.when(v.rlike(r"[^\x00-˿]"), F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), v, F.lit(False))).otherwise(v)
+    composed = F.when(v.rlike(r"[^\u0000-\u02FF]"), F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), v, F.lit(False))).otherwise(v)
     return F.trim(F.regexp_replace(F.lower(composed), _BLANKS, " "))
 
 
