@@ -11,7 +11,7 @@ LOOKALIKES = str.maketrans(
     "авекмнорстухіјѕԁɡһԛԝьАВЕКМНОРСТУХІЈЅαβεικνορτυχΑΒΕΖΗΙΚΜΝΟΡΤΥΧı",
     "abekmhopctyxijsdghqwbABEKMHOPCTYXIJSaveikvoptuxABEZHIKMNOPTYXi",
 )
-_HIDDEN = re.compile("[­​-‏‪-‮⁠-⁤﻿︀-️]")
+_HIDDEN = re.compile("[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff\ufe00-\ufe0f]")
 _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})|\\x([0-9a-fA-F]{2})|\\([nrt])|\\([\"'/\\])")
 _INLINE = re.compile(r"</?(?:b|i|em|strong|span|a|u|s|mark|small|sub|sup|font|wbr|code)(?:\s[^<>]*)?/?>", re.I)
 _TAG = re.compile(r"</?[a-zA-Z!][^<>]{0,2000}>")
@@ -26,7 +26,7 @@ _DIGRAPH = re.compile(r"aa|ae|oe")
 def _repaired(m: re.Match) -> str:
     """Text that was UTF-8 and read as a one-byte encoding."""
     s = m[0]
-    if not any("" <= c <= "ÿ" for c in s) or not any(c in s for c in "ÃÂÅâðÐ"):
+    if not any("\x80" <= c <= "\xff" for c in s) or not any(c in s for c in "ÃÂÅâðÐ"):
         return s
     try:
         return bytes(b for c in s for b in (c.encode("cp1252", "ignore") or c.encode("latin-1"))).decode("utf-8")
