@@ -73,7 +73,7 @@ class Trie:
 
 def _entries() -> dict[str, str]:
     out: dict[str, str] = {}
-    for kind, ws in (("phrase", [w for p in X.PHRASES for c in p for w in c.split("|") if len(w) > 4]), ("strong", X.STRONG), ("explicit", X.EXPLICIT), ("dehuman", X.DEHUMAN), ("insult", X.INSULT)):
+    for kind, ws in (("phrase", [w for p in X.PHRASES for c in p for w in c.split("|") if len(w) > 4 or w in X.SHORT]), ("strong", X.STRONG), ("explicit", X.EXPLICIT), ("dehuman", X.DEHUMAN), ("insult", X.INSULT)):
         for w in ws:
             out[plain(w)] = kind
     return out
@@ -182,7 +182,7 @@ def sentence_score(tokens: list[tuple[str, bool]], quoted: bool) -> float:
         elif kind == "dehuman":
             direct = ws[max(0, i - 3) : i]
             if {"are", "er", "ar"} & set(direct) and not {"there", "det", "these", "this", "vi", "we", "our", "my"} & set(window):
-                score += 1.0 if exact or len(word) > 4 or any(k in near and found[k][1] == "strong" for k in range(max(0, i - 2), i)) else 0.5
+                score += 1.0 if exact or len(word) > 3 or any(k in near and found[k][1] == "strong" for k in range(max(0, i - 2), i)) else 0.5
         elif kind == "explicit":
             if word in _MILD:
                 mild += 1

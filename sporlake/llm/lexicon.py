@@ -50,6 +50,8 @@ PHRASES = [
     # open abuse
     ("shut", "up", "you"), ("piece", "of", "shit"), ("hold", "kjeft", "din|ditt"),
 ]
+#: Short words of phrases that are also looked for in disguise.
+SHORT = {"suck", "suge", "legs", "hell"}
 #: Words that begin what is said of people: an insult counts after one of these.
 ADDRESS = set("you your youre du din ditt dine deg dere is are am was were er var som like such everyone whoever they he she han hun de hver alle all".split())
 #: Words of reports, rules, trades and medicine, where such words are meant in another way.
