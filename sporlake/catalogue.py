@@ -711,3 +711,20 @@ def order_value_rollup(spark, sf):
     o = table(spark, sf, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"))
     j = table(spark, sf, "lineitem").select("l_orderkey", "l_extendedprice", "l_discount").join(o.select("o_orderkey", "r_name", "n_name"), F.col("l_orderkey") == F.col("o_orderkey"))
     return j.rollup("r_name", "n_name").agg(F.count("*").alias("lines"), F.round(F.sum(v), 2).cast("double").alias("revenue"))
+
+
+# ---- streams, run bounded
+
+
+@query
+def stream_window_counts(spark, sf):
+    from sporlake.streaming import streams as S
+
+    return S.drain(S.windowed_counts(S.event_stream(spark, sf)), "complete", "stream_window_counts").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.col("total").cast("double").alias("total"))
+
+
+@query
+def stream_budget_state(spark, sf):
+    from sporlake.streaming import streams as S
+
+    return S.drain(S.admitted(S.event_stream(spark, sf), 500), "update", "stream_budget_state").groupBy("user_id").agg(F.max("admitted").alias("admitted"), F.max("refused").alias("refused"), F.max("spent_cents").alias("spent_cents"))

@@ -234,4 +234,7 @@ SELECT substr(pc, 1, 2) AS region, count(*) AS n, count(DISTINCT lower(city)) AS
  arg_max(event_id, (ts, event_id)) AS last_event FROM events GROUP BY 1""",
     "multi_source_parts": """SELECT l_partkey, count(*) AS lines, count(DISTINCT l_suppkey) AS suppliers, arg_max(l_suppkey, (l_quantity, l_shipdate, l_suppkey, l_orderkey, l_linenumber)) AS best_supplier, max(l_quantity) AS best_quantity FROM lineitem GROUP BY 1""",
     "order_value_rollup": """SELECT r_name, n_name, count(*) AS lines, CAST(round(sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18,4))), 2) AS DOUBLE) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)""",
+    "stream_window_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(12,2))) AS DOUBLE) AS total FROM events GROUP BY 1, 2",
+    "stream_budget_state": """WITH s AS (SELECT user_id, CAST(round(value * 100) AS BIGINT) AS c, sum(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS spent FROM events)
+SELECT user_id, count_if(spent <= 50000) AS admitted, count_if(spent > 50000) AS refused, CAST(sum(c) AS BIGINT) AS spent_cents FROM s GROUP BY 1""",
 }
