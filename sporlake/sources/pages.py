@@ -46,6 +46,8 @@ class _Reader(HTMLParser):
             self._skip = max(0, self._skip - 1)
         elif tag == "title":
             self._in_title = False
+        if tag in _BLOCK:
+            self.text.append(" ")
 
     def handle_data(self, data):
         if self._json is not None:
