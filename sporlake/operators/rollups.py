@@ -45,33 +45,63 @@ def coverage(long: DataFrame, key: str) -> DataFrame:
     return out.withColumn("rate", F.round(0.5 * F.col("found") / F.col("fields") + 0.5 * F.col("covered") / F.col("categories"), 4))
 
 
+def ranked_values(df: DataFrame, keys: list[str], value: str, ranks: dict[str, Column], splits: int = 63) -> DataFrame:
+    """The values at given ranks (from 1, columns of n) of each group's sorted values, exact: one row a group.
+
+    Equal values are counted first; approximate quantiles then cut a group's values into ranges that are summed apart,
+    so that no group is sorted or held in one task. Only the ranges' totals, ``splits`` + 1 a group, come together.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("c"))
+    at = F.array(*[F.lit(k / (splits + 1)) for k in range(1, splits + 1)])
+    cuts = counts.groupBy(*keys).agg(F.percentile_approx(value, at, 1000).alias("_cuts"))
+    ranged = counts.join(cuts, keys).withColumn("_range", F.size(F.filter("_cuts", lambda x: x < F.col(value)))).drop("_cuts")
+    totals = ranged.groupBy(*keys, "_range").agg(F.sum("c").alias("_t"))
+    w = Window.partitionBy(*keys)
+    before = totals.select(*keys, "_range", F.sum("_t").over(w).alias("n"), (F.sum("_t").over(w.orderBy("_range")) - F.col("_t")).alias("_before"))
+    run = ranged.join(before, [*keys, "_range"]).withColumn("_upto", F.col("_before") + F.sum("c").over(Window.partitionBy(*keys, "_range").orderBy(value)))
+    here = {name: (F.col("_upto") >= r) & (F.col("_upto") - F.col("c") < r) for name, r in ranks.items()}
+    return run.where(reduce(lambda x, y: x | y, here.values())).groupBy(*keys).agg(*[F.max(F.when(c, F.col(value))).alias(name) for name, c in here.items()])
+
+
 def quantiles(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """n, mean, true median, nearest-rank p50 and p95, min and max of each group."""
-    v = F.col(value)
-    return df.groupBy(*keys).agg(
-        F.count(v).alias("n"), F.round(F.avg(v), 6).alias("mean"), F.round(F.median(v), 6).alias("median"), F.expr(f"percentile_disc(0.5) within group (order by {value})").alias("p50"),
-        F.expr(f"percentile_disc(0.95) within group (order by {value})").alias("p95"), F.min(v).alias("min"), F.max(v).alias("max"),
-    )
+    v, n = F.col(value), F.col("n")
+    rank = lambda q: F.greatest(F.lit(1), F.ceil(n * q))
+    r = ranked_values(df, keys, value, {"p50": rank(0.5), "p95": rank(0.95), "_lo": F.floor((n + 1) / 2), "_hi": F.ceil((n + 1) / 2)})
+    base = df.groupBy(*keys).agg(F.count(v).alias("n"), F.round(F.avg(v), 6).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"))
+    return base.join(r, keys, "left").withColumn("median", F.round((F.col("_lo") + F.col("_hi")) / 2, 6)).select(*keys, "n", "mean", "median", "p50", "p95", "min", "max")
 
 
-def index_quantile(df: DataFrame, keys: list[str], value: str, rank: Column, name: str) -> DataFrame:
-    """The value at a rank (a column of n) of each group's sorted values, by counting equal values: no group is collected."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*keys).orderBy(value)
-    run = counts.withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy(*keys)))
-    return run.where((F.col("upto") >= rank) & (F.col("upto") - F.col("c") < rank)).select(*keys, F.col(value).alias(name))
+def _running(df: DataFrame, keys: list[str], block: Column, order: list[Column], step: Column, fold, join, start) -> DataFrame:
+    """_run: fold of ``step`` over a key's rows in order, with the folds of earlier blocks joined in.
+
+    A block is a stretch of the order (an hour, a day): rows are sorted within blocks only, so that a hot key spreads
+    over as many tasks as it has blocks; what comes together of a key is one row a block.
+    """
+    d = df.withColumn("_block", block).withColumn("_step", step)
+    by_block = d.groupBy(*keys, "_block").agg(fold(F.col("_step")).alias("_f"))
+    w = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = by_block.select(*keys, "_block", fold(F.col("_f")).over(w).alias("_earlier"))
+    inner = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    j = d.withColumn("_here", fold(F.col("_step")).over(inner)).join(earlier, [*keys, "_block"])
+    return j.withColumn("_run", join(F.col("_here"), F.coalesce("_earlier", start))).drop("_block", "_step", "_here", "_earlier")
 
 
-def running_budget(df: DataFrame, keys: list[str], order: list[Column], cost: Column, budget: float) -> DataFrame:
-    """spent: the running cost in order, and admitted: whether it is still within the budget."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn("spent", F.round(F.sum(cost).over(w), 2)).withColumn("admitted", F.col("spent") <= budget)
+def running_budget(df: DataFrame, keys: list[str], block: Column, order: list[Column], cost: Column, budget: float) -> DataFrame:
+    """spent: the running cost in order, and admitted: whether it is still within the budget. block: a stretch of the order."""
+    d = _running(df, keys, block, order, cost, F.sum, lambda a, b: a + b, F.lit(0))
+    return d.withColumn("spent", F.round("_run", 2)).withColumn("admitted", F.col("spent") <= budget).drop("_run")
 
 
-def latched(df: DataFrame, keys: list[str], order: list[Column], condition: Column, name: str) -> DataFrame:
+def latched(df: DataFrame, keys: list[str], block: Column, order: list[Column], condition: Column, name: str) -> DataFrame:
     """name: true from the first row in order on which the condition holds."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn(name, F.max(F.coalesce(condition, F.lit(False))).over(w))
+    d = _running(df, keys, block, order, F.coalesce(condition, F.lit(False)), F.max, lambda a, b: a | b, F.lit(False))
+    return d.withColumnRenamed("_run", name)
+
+
+def running_best(df: DataFrame, keys: list[str], block: Column, order: list[Column], value: Column, name: str) -> DataFrame:
+    """name: the greatest value up to each row."""
+    return _running(df, keys, block, order, value, F.max, lambda a, b: F.greatest(a, b), F.lit(None)).withColumnRenamed("_run", name)
 
 
 def classifier_scores(df: DataFrame, gold: str, predicted: str, labels: list[str]) -> DataFrame:

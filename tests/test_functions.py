@@ -107,8 +107,12 @@ def test_conflicts_and_rules(spark):
     v = spark.createDataFrame([("g", float(i)) for i in (1, 2, 3, 4)], "k string, v double")
     q = A.quantiles(v, ["k"], "v").head()
     assert (q.median, q.p50, q.p95) == (2.5, 2.0, 4.0)
-    assert A.index_quantile(v, ["k"], "v", F.floor((F.col("n") - 1) * 0.5) + 1, "x").head().x == 2.0
-    assert A.index_quantile(v, ["k"], "v", F.least(F.floor(F.col("n") * 0.5), F.col("n") - 1) + 1, "x").head().x == 3.0
+    n = F.col("n")
+    r = A.ranked_values(v, ["k"], "v", {"a": F.floor((n - 1) * 0.5) + 1, "b": F.least(F.floor(n * 0.5), n - 1) + 1}).head()
+    assert (r.a, r.b) == (2.0, 3.0)
+    same = spark.createDataFrame([("g", 5.0)] * 1000 + [("g", 1.0)] * 10, "k string, v double")
+    q = A.quantiles(same, ["k"], "v").head()
+    assert (q.n, q.median, q.p50, q.p95, q.min) == (1010, 5.0, 5.0, 5.0, 1.0)
     assert spark.range(1).select(A.reasons(a=F.lit(True), b=F.lit(None).cast("boolean"), c=F.lit(False))).head()[0] == ["a"]
     f = A.fingerprint(v, ["k"], ["v"]).head()
     assert f.fingerprint == A.fingerprint(v.orderBy(F.desc("v")), ["k"], ["v"]).head().fingerprint
