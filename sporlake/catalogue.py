@@ -726,3 +726,88 @@ def stream_budget_state(spark, sf):
     from sporlake.streaming import streams as S
 
     return S.drain(S.admitted(S.event_stream(spark, sf), 500), "update", "stream_budget_state").groupBy("user_id").agg(F.max("admitted").alias("admitted"), F.max("refused").alias("refused"), F.max("spent_cents").alias("spent_cents"))
+
+
+# ---- assessments
+
+
+@query
+def research_candidates(spark, sf):
+    from sporlake.operators import assess as S
+
+    d = table(spark, sf, "discovery_results").where("organisation_number is not null")
+    return S.research_candidates(d, ["organisation_number"], "url", "rank", F.lit(0.9), "result_id").select("organisation_number", "url_key", "rank", F.col("candidate_score").alias("score"), "place")
+
+
+@query
+def source_rule_lookup(spark, sf):
+    """Evidence by the rule of its host or a parent domain; the rules are those of the frequent second-level hosts."""
+    from sporlake.operators import assess as S
+
+    e = table(spark, sf, "evidence").select("evidence_id", "source_url").where("source_url is not null")
+    rules = spark.createDataFrame([("kilde.example", "licensed"), ("example", "unknown"), ("official-registry.kilde.example", "open")], "domain string, licence string")
+    return S.lookup_by_domain(e, "source_url", "evidence_id", rules).groupBy("licence", "domain").agg(F.count("*").alias("n"))
+
+
+@query
+def exact_title_match(spark, sf):
+    """Search hits whose title holds the company's name as words that stand together."""
+    from sporlake.functions.documents import contains_sequence
+
+    c = companies(spark, sf).select("organisation_number", F.split(X.folded_name(F.col("name")), " ").alias("n"))
+    d = table(spark, sf, "discovery_results").where("title is not null").select("result_id", "organisation_number", F.split(X.folded_name(F.col("title")), " ").alias("t"))
+    return d.join(c, "organisation_number").select("result_id", contains_sequence(F.col("t"), F.col("n")).alias("in_title"))
+
+
+@query
+def search_ambiguity(spark, sf):
+    from sporlake.operators import assess as S
+
+    c = companies(spark, sf).select("organisation_number", "name")
+    d = table(spark, sf, "discovery_results").join(c, "organisation_number").select("organisation_number", "name", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("query", F.lit("")).alias("q"))
+    return S.ambiguity(d, "organisation_number", F.col("name"), F.col("title"), F.contains("q", "organisation_number"))
+
+
+@query
+def cost_shares(spark, sf):
+    from sporlake.operators import assess as S
+
+    d = S.shares(table(spark, sf, "events"), ["event_type"], F.col("value").cast("decimal(12,2)"), 0.2)
+    return d.select("event_type", F.col("total").cast("double").alias("total"), "share", "bottleneck")
+
+
+@query
+def evidence_identity(spark, sf):
+    """Score of whether evidence speaks of its company, from its title and excerpt."""
+    from sporlake.operators import assess as S
+
+    c = companies(spark, sf).select("organisation_number", "name")
+    e = table(spark, sf, "evidence").select("evidence_id", "organisation_number", "source_title", "evidence_excerpt").join(c, "organisation_number")
+    p = S.page_identity(F.col("name"), F.col("organisation_number"), F.col("source_title"), F.col("evidence_excerpt"))
+    return e.select("evidence_id", p["score"].cast("double").alias("score"), p["status"].alias("status"))
+
+
+@query
+def profile_facts(spark, sf):
+    """What is known of a company as facts, and notes on what isn't."""
+    from sporlake.operators import assess as S
+
+    f = S.facts({"employees": F.col("employees"), "website": F.nullif(F.col("website"), F.lit("")), "municipality": F.col("municipality")}, {"employees are not reported": F.col("employees").isNull(), "no website is registered": F.col("website") == ""})
+    return companies(spark, sf).select("organisation_number", f.alias("f")).select("organisation_number", F.size("f.facts").alias("facts"), F.array_join("f.unsupported", ";").alias("notes"))
+
+
+@query
+def name_similarity(spark, sf):
+    """Block similarity of typed and registered names (vectorised Python)."""
+    from sporlake.functions.documents import similarity
+
+    d = table(spark, sf, "name_comparisons")
+    return d.select("comparison_id", similarity(F.lower("target_name"), F.lower("source_name")).alias("ratio"))
+
+
+@query
+def canonical_values(spark, sf):
+    """Evidence values in canonical JSON: distinct ones by module (vectorised Python)."""
+    from sporlake.functions.documents import canonical_json
+
+    return table(spark, sf, "evidence").select("field", canonical_json(F.col("value")).alias("v")).groupBy("field").agg(F.countDistinct("v").alias("values"))

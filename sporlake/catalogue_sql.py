@@ -237,4 +237,21 @@ SELECT substr(pc, 1, 2) AS region, count(*) AS n, count(DISTINCT lower(city)) AS
     "stream_window_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(12,2))) AS DOUBLE) AS total FROM events GROUP BY 1, 2",
     "stream_budget_state": """WITH s AS (SELECT user_id, CAST(round(value * 100) AS BIGINT) AS c, sum(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS spent FROM events)
 SELECT user_id, count_if(spent <= 50000) AS admitted, count_if(spent > 50000) AS refused, CAST(sum(c) AS BIGINT) AS spent_cents FROM s GROUP BY 1""",
+    "research_candidates": rf"""WITH d AS (SELECT organisation_number, 'https://' || {host("url")} || regexp_replace(regexp_replace({url_path("url")}, '/{{2,}}', '/', 'g'), '/$', '') AS url_key, rank, result_id FROM discovery_results WHERE organisation_number IS NOT NULL AND {host("url")} IS NOT NULL),
+ f AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY organisation_number, url_key ORDER BY rank NULLS LAST, result_id) = 1),
+ s AS (SELECT *, CAST(round(least(1.0, greatest(0.1, 0.9 - 0.05 * (coalesce(rank, 20) - 1))), 4) AS DOUBLE) AS score FROM f)
+SELECT organisation_number, url_key, rank, score, CAST(row_number() OVER (PARTITION BY organisation_number ORDER BY score DESC, rank NULLS LAST, url_key) AS INT) AS place FROM s""",
+    "source_rule_lookup": f"""WITH h AS (SELECT {host("source_url")} AS h FROM evidence WHERE source_url IS NOT NULL), d AS (SELECT CASE WHEN h = 'official-registry.kilde.example' OR ends_with(h, '.official-registry.kilde.example') THEN 'official-registry.kilde.example' WHEN h = 'kilde.example' OR ends_with(h, '.kilde.example') THEN 'kilde.example' WHEN h = 'example' THEN 'example' END AS domain FROM h)
+SELECT CASE domain WHEN 'official-registry.kilde.example' THEN 'open' WHEN 'kilde.example' THEN 'licensed' WHEN 'example' THEN 'unknown' END AS licence, domain, count(*) AS n FROM d GROUP BY 1, 2""",
+    "exact_title_match": f"""WITH {CO} SELECT result_id, contains(' ' || {folded("title")} || ' ', ' ' || {folded("name")} || ' ') AS in_title FROM discovery_results d JOIN co ON co.organisation_number = d.organisation_number WHERE title IS NOT NULL""",
+    "search_ambiguity": f"""WITH {CO}, d AS (SELECT co.organisation_number, contains(coalesce(query, ''), co.organisation_number) AS k, {folded(no_form("name"))} = {folded(no_form("coalesce(title, '')"))} AS n FROM discovery_results r JOIN co ON co.organisation_number = r.organisation_number),
+ g AS (SELECT organisation_number, count_if(k) AS exact, count_if(n) AS named FROM d GROUP BY 1) SELECT *, exact <> 1 AND named > 1 AS ambiguous FROM g""",
+    "cost_shares": """WITH g AS (SELECT event_type, CAST(sum(CAST(value AS DECIMAL(12,2))) AS DOUBLE) AS total FROM events GROUP BY 1), s AS (SELECT *, round(total / sum(total) OVER (), 4) AS share FROM g) SELECT *, share >= 0.2 AS bottleneck FROM s""",
+    "evidence_identity": rf"""WITH {CO}, e AS (SELECT evidence_id, e.organisation_number AS org, {tokens("name")} AS want, {tokens("concat_ws(' ', source_title, evidence_excerpt)")} AS seen, lower(concat_ws(' ', source_title, evidence_excerpt)) AS t,
+  regexp_extract_all(regexp_replace(coalesce(evidence_excerpt, ''), '(\d)[\s\x{{A0}}](\d)', '\1\2', 'g'), '\b(\d{{9}})\b', 1) AS nums FROM evidence e JOIN co ON co.organisation_number = e.organisation_number),
+ s AS (SELECT *, len(list_intersect(want, seen)) / greatest(len(want), 1) AS share FROM e),
+ c AS (SELECT evidence_id, CASE WHEN regexp_matches(t, 'domain (is )?for sale|parked domain|domenet er til salgs|under construction') THEN 0.1 WHEN list_contains(nums, org) AND share > 0 THEN 1.0 WHEN list_contains(nums, org) THEN 0.95 WHEN len(nums) > 0 THEN 0.1
+  WHEN share = 1 THEN 0.85 WHEN share >= 0.5 THEN 0.65 WHEN share > 0 THEN 0.35 ELSE 0.1 END AS score FROM s)
+SELECT evidence_id, CAST(score AS DOUBLE) AS score, CASE WHEN score >= 0.85 THEN 'verified' WHEN score >= 0.65 THEN 'review' ELSE 'rejected' END AS status FROM c""",
+    "profile_facts": f"""WITH {CO} SELECT organisation_number, CAST((employees IS NOT NULL)::INT + (nullif(website, '') IS NOT NULL)::INT + (municipality IS NOT NULL)::INT AS INT) AS facts, concat_ws(';', CASE WHEN employees IS NULL THEN 'employees are not reported' END, CASE WHEN website = '' THEN 'no website is registered' END) AS notes FROM co""",
 }
