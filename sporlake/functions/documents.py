@@ -20,7 +20,8 @@ def _canonical(v):
     if isinstance(v, str):
         return " ".join(v.split())
     if isinstance(v, float):
-        return int(v) if v.is_integer() else round(v, 4)
+        r = round(v, 4)
+        return int(r) if r.is_integer() else r
     return v
 
 
