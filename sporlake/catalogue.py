@@ -316,7 +316,7 @@ def _candidates(spark, sf) -> DataFrame:
     in_host = F.contains(F.regexp_replace(U.host(F.col("url")), "[^a-z0-9]", ""), F.regexp_replace(X.folded_name(X.without_legal_form(F.col("name"))), " ", ""))
     town = F.size(F.array_except(X.tokens(F.col("municipality")), X.tokens(F.col("snippet")))) == 0
     has_org = F.contains(F.concat("title", "snippet"), F.col("organisation_number"))
-    # Hundredths, so that sums are exact.
+    # Weights are fixed values, in hundredths, so that sums are exact.
     score = F.least(F.lit(100), F.when(has_org, 75).otherwise(0) + F.when(in_title, 45).when(anywhere, 25).otherwise(0) + F.when(F.coalesce(in_host, F.lit(False)), 30).otherwise(0) + F.when(town, 10).otherwise(0))
     return j.select("result_id", "organisation_number", "url", "rank", score.alias("score"))
 

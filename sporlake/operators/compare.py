@@ -48,7 +48,10 @@ def fail_closed_merge(previous: DataFrame, new: DataFrame, failed: DataFrame, ke
 
 
 def materiality(before: Column, after: Column, least: float = 10, share: float = 25, always: float = 50) -> dict[str, Column]:
-    """delta, percent (100 from zero), material and severity of a change of a count; a missing value is never material."""
+    """delta, percent (100 from zero), material and severity of a change of a count; a missing value is never material.
+
+    The default thresholds are fixed values.
+    """
     delta = after - before
     pct = F.when(before == 0, F.when(after == 0, 0.0).otherwise(100.0)).otherwise(F.abs(delta) * 100.0 / before)
     material = F.coalesce(((F.abs(delta) >= least) & (pct >= share)) | (F.abs(delta) >= always), F.lit(False))
