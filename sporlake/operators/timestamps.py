@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sporlake.functions.readings import read
-from sporlake.session import cut, parallelism
+from sporlake.session import cut, parallelism, spread
 
 #: Costs of a reading that its text doesn't allow, of a switch of order between two records, of a jump back in time.
 INVALID, SWITCH, BACK = 1.0, 50.0, 0.01
@@ -169,7 +169,7 @@ def unambiguous_times(df: DataFrame, sources: DataFrame, fields: tuple[str, ...]
     """
     spark = df.sparkSession
     values = df.select(F.col(id).cast("long").alias("id"), F.col(source).alias("source"), *[F.col(f).alias(f"f{k}") for k, f in enumerate(fields)]).where("id is not null")
-    read_ = values.mapInArrow(_readings(list(fields)), "id long, field string, source string, chain string, readings array<long>, zone string")
+    read_ = spread(values).mapInArrow(_readings(list(fields)), "id long, field string, source string, chain string, readings array<long>, zone string")
     # The two branches read the table twice; the parse is a narrow pass and the bulk of the values needs no choice.
     plain = read_.where("chain = ''").select("id", "field", "source", F.col("readings")[0].alias("micros"), "zone")
     n = parallelism(spark)

@@ -48,3 +48,13 @@ def cut(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="sporlake-checkpoint-")
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over as many tasks as shuffles have, where a scan has fewer; large tables stay as they are read.
+
+    For passes that cost much more than reading. Only scans without a shuffle are looked at, no job runs.
+    """
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    n = parallelism(df.sparkSession)
+    return df.repartition(n) if "Exchange" not in plan and "Adaptive" not in plan and df.rdd.getNumPartitions() < n else df
