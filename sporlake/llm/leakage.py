@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sporlake.llm.words import words
+from sporlake.session import spread
 
 #: Words of a seed; a seed is rare if at most that share of the items of a block (but at least two items) has it.
 SEED, RARE = 2, 0.0125
@@ -123,7 +124,7 @@ def leaked_items(docs: DataFrame, evals: DataFrame, id: str = "doc_id", text: st
     rows = [(r[0], r[1]) for r in evals.select(item, item_text).where(f"{item_text} is not null and {item} is not null").distinct().sort(item, item_text).toLocalIterator()]
     schema = "doc_id long, item_id long, passage_words int, found_words int"
     source = docs.select(F.col(id).cast("long").alias("d"), F.col(text).alias("t")).where("d is not null and t is not null")
-    out = None
+    source, out = spread(source), None
     for k in range(0, len(rows), block):
         part = rows[k : k + block]
         names = [r[0] for r in part]
