@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sporlake.llm import lexicon as X
 from sporlake.llm.words import LOOKALIKES, unescape
+from sporlake.session import spread
 
 #: Score from which a document is to be reviewed.
 THRESHOLD = 1.0
@@ -217,7 +218,7 @@ def scored(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str
     Null, empty and blank texts score 0. A document is to be reviewed if its worst sentence reaches THRESHOLD.
     Repeated rows are scored each; null ids stay; columns other than the three aren't read.
     """
-    rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("t"), F.col(source).alias("source"))
+    rows = spread(docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("t"), F.col(source).alias("source")))
     out = rows.mapInArrow(_score, "id long, source string, score double, total double, sentences int")
     return out.select(F.col("id").alias(id), F.col("source").alias(source), "score", "total", "sentences")
 
