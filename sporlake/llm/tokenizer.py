@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sporlake.session import spread
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 #: Characters of a chunk and of the overlap in which the pre-tokens of two chunks must meet again.
 CHUNK, OVERLAP = 4096, 512
@@ -119,7 +121,7 @@ def token_ids(docs: DataFrame, id: str = "doc_id", text: str = "text", path: str
     keyed = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id).alias("key"), F.col(text).alias("t"))
     whole = F.coalesce(F.length("t"), F.lit(0)) <= chunk + overlap
     short = keyed.where(whole).select("row", "key", F.coalesce("t", F.lit("")).alias("t"))
-    done = short.select(F.col("key").cast("long").alias("id"), F.lit(0).alias("k"), F.col("t").alias("text")).mapInArrow(_encode(path), "id long, k int, ids array<int>").select(F.col("id"), "ids")
+    done = spread(short.select(F.col("key").cast("long").alias("id"), F.lit(0).alias("k"), F.col("t").alias("text"))).mapInArrow(_encode(path), "id long, k int, ids array<int>").select(F.col("id"), "ids")
     long_ = keyed.where(~whole).select("row", F.col("key").cast("long").alias("key"), "t")
     parts = long_.select(F.col("row").alias("id"), "t").mapInArrow(_split(chunk, overlap), _CHUNKS)
     # The split is a narrow pass over few rows; the chunks then spread over the cluster.
