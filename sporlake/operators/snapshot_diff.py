@@ -129,10 +129,11 @@ def snapshot_changes(
     rows = df.select(F.col(key).alias("k"), F.col(version).cast("long").alias("version"), F.col(value).alias("v"), F.col(retrieved_at).alias("r")).where("k is not null and version is not null")
     at = F.coalesce(instant(F.col("r")), F.lit(-(2**62)))
     hashed = rows.select(F.xxhash64("k").alias("key"), F.xxhash64(F.lit("second"), "k").alias("key2"), "version", at.alias("at"), F.xxhash64(canonical(F.col("v"))).alias("value"))
-    # The deliveries are few; the number of rows comes from the file footers.
-    versions = sorted(r[0] for r in df.select(F.col(version).cast("long")).distinct().collect() if r[0] is not None)
+    # The deliveries are few: one row each comes to the driver.
+    sizes = {r[0]: r[1] for r in df.groupBy(F.col(version).cast("long")).count().collect() if r[0] is not None}
+    versions = sorted(sizes)
     pairs = list(zip(versions[:-1], versions[1:], strict=True))
-    buckets = max(parallelism(spark), -(-df.count() // bucket_rows))
+    buckets = max(parallelism(spark), -(-sum(sizes.values()) // bucket_rows))
     packed = hashed.mapInArrow(_pack(buckets), "bucket long, packed binary")
     candidates = packed.groupBy("bucket").applyInArrow(_compare(pairs), "key long, version_from long, version_to long")
     candidates = cut(candidates.select("key", "version_from", "version_to"))
