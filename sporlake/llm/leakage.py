@@ -84,12 +84,13 @@ def leaks(doc: str, items: Items) -> list[tuple[int, int, int]]:
                 groups.append([])
             groups[-1].append(k)
         for g in groups:
-            lo, hi = max(0, g[0] - 2 * len(item)), g[-1] + 2 * len(item)
-            window = arr[lo:hi]
-            if np.isin(window, item).sum() < FOUND:
-                continue
-            start, end, found = smith_waterman(item, window)
-            best = max(best, (found, end - start))
+            # A passage spans at most twice the item's words; long stretches of seeds are aligned in windows that overlap by that.
+            size, lo, hi = 10 * len(item), max(0, g[0] - 2 * len(item)), min(len(arr), g[-1] + 2 * len(item))
+            for at_ in range(lo, max(hi - 2 * len(item), lo + 1), size - 2 * len(item)):
+                window = arr[at_ : min(at_ + size, hi)]
+                if np.isin(window, item).sum() >= FOUND:
+                    start, end, found = smith_waterman(item, window)
+                    best = max(best, (found, end - start))
         found, span = best
         if span >= PASSAGE and found >= FOUND and found >= SHARE * span:
             out.append((i, span, found))
