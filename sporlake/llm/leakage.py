@@ -18,6 +18,10 @@ SEED, RARE = 2, 0.0125
 MATCH, MISMATCH, GAP = 2, 1, 1
 #: A passage is a stretch of an item of at least that many words, of which so many and that share are found again.
 PASSAGE, FOUND, SHARE = 12, 10, 0.75
+#: Stretches of an item up to that length are looked at one by one; of a longer passage, such a stretch is one too.
+STRETCH = 32
+#: Least score of a stretch, each word added in the text counted: three words may be missing and three more be added for ten found.
+SCORE = 11
 #: Items that are matched in one pass; more items take more passes over the corpus.
 BLOCK = 20_000
 
@@ -49,6 +53,11 @@ class Items:
 
 def smith_waterman(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     """Best local alignment of an item a with words b: first and last word of a plus one, words found."""
+    return _aligned(a, b)[1:]
+
+
+def _aligned(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, int]:
+    """The score of the best local alignment, and what smith_waterman() gives."""
     ramp = GAP * np.arange(len(b) + 1)
     h = np.zeros((len(a) + 1, len(b) + 1), np.int64)
     for i in range(1, len(a) + 1):
@@ -56,7 +65,7 @@ def smith_waterman(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
         row[1:] = np.maximum(np.where(b == a[i - 1], MATCH, -MISMATCH) + h[i - 1, :-1], h[i - 1, 1:] - GAP)
         h[i] = np.maximum(np.maximum.accumulate(np.maximum(row, 0) + ramp) - ramp, 0)
     i, j = np.unravel_index(h.argmax(), h.shape)
-    end, found = int(i), 0
+    score, end, found = int(h[i, j]), int(i), 0
     while h[i, j] > 0:
         same = i > 0 and j > 0 and a[i - 1] == b[j - 1]
         if i > 0 and j > 0 and h[i, j] == h[i - 1, j - 1] + (MATCH if same else -MISMATCH):
@@ -66,18 +75,60 @@ def smith_waterman(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
             i -= 1
         else:
             j -= 1
-    return int(i), end, found
+    return score, int(i), end, found
+
+
+def holds(span: int, found: int) -> bool:
+    return span >= PASSAGE and found >= FOUND and found >= SHARE * span
+
+
+#: Words that may be missing of a stretch of so many words.
+_MISSING = [min(n - FOUND, int(n * (1 - SHARE))) if n >= PASSAGE else int(STRETCH * (1 - SHARE)) for n in range(STRETCH + 1)]
+
+
+def passage(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, int]:
+    """(words found, words, first and last word of b plus one) of a stretch of an item a that is a passage in words b,
+    whatever else of a is in b; zeros if none is.
+
+    Of all ways to find a stretch's words in order, with its length and the words missing so far, the one that begins last
+    in b is kept: it takes the fewest words of b. A stretch counts if its best alignment by itself holds, without the ends
+    that gain nothing: one word more by chance doesn't lengthen it.
+    """
+    at = np.flatnonzero(np.isin(b, a))  # places of b that can matter
+    best, most = (0, 0, 0, 0), _MISSING[0]
+    # latest[n - 1, k, j]: stretches of n words that end at the current word of a, k of them missing, found by at[:j + 1].
+    latest = np.full((STRETCH, most + 1, len(at)), -1, np.int64)
+    for i, x in enumerate(a):
+        same = np.flatnonzero(b[at] == x)
+        now = np.full_like(latest, -1)
+        now[1:, 1:] = latest[:-1, :-1]
+        if len(same):
+            ends = np.full((STRETCH, most + 1, len(same)), -1, np.int64)
+            later = same > 0
+            ends[1:, :, later] = latest[:-1, :, same[later] - 1]
+            ends[0, 0] = at[same]
+            for n in range(PASSAGE, STRETCH + 1):
+                for k in range(_MISSING[n] + 1):
+                    added = at[same] - ends[n - 1, k] + 1 - (n - k)
+                    for j in np.flatnonzero((ends[n - 1, k] >= 0) & (MATCH * (n - k) - max(MISMATCH, GAP) * k - GAP * added >= SCORE)) if (n - k, n) > best[:2] else ():
+                        start, end, found = smith_waterman(a[i + 1 - n : i + 1], b[(lo := int(ends[n - 1, k, j])) : (hi := int(at[same[j]]) + 1)])
+                        if holds(end - start, found):
+                            best = max(best, (found, end - start, lo, hi))
+            hit = np.full_like(latest, -1)
+            hit[:, :, same] = ends
+            now = np.maximum(now, np.maximum.accumulate(hit, axis=2))
+        latest = now
+    return best
 
 
 def leaks(doc: str, items: Items) -> list[tuple[int, int, int]]:
     """(item, words of the passage, words found) of the items of which the text holds a passage."""
     w = [items.vocab.get(x, -1) for x in words(doc)]
-    arr, out = np.array(w, np.int64), []
+    arr, out, hits = np.array(w, np.int64), [], {}
     for i, at in items.candidates(w).items():
         item = items.words[i]
-        best = (0, 0)
+        best, parts = (0, 0), []
         # Seeds further apart than an item is long can't be of one passage.
-        start = at[0]
         groups = [[at[0]]]
         for k in at[1:]:
             if k - groups[-1][-1] > 2 * len(item):
@@ -89,11 +140,23 @@ def leaks(doc: str, items: Items) -> list[tuple[int, int, int]]:
             for at_ in range(lo, max(hi - 2 * len(item), lo + 1), size - 2 * len(item)):
                 window = arr[at_ : min(at_ + size, hi)]
                 if np.isin(window, item).sum() >= FOUND:
-                    start, end, found = smith_waterman(item, window)
-                    best = max(best, (found, end - start))
-        found, span = best
-        if span >= PASSAGE and found >= FOUND and found >= SHARE * span:
-            out.append((i, span, found))
+                    score, start, end, found = _aligned(item, window)
+                    # A long weak alignment beside or instead of a passage doesn't hide it.
+                    if holds(end - start, found):
+                        best = max(best, (found, end - start))
+                    elif score >= SCORE:
+                        found, span, first, last = passage(item, window)
+                        if found:
+                            parts.append((found, span, arr[at_ + first : at_ + last]))
+        hits[i] = best, parts
+    whole = [i for i, (best, _) in hits.items() if best[0]]
+    for i, (best, parts) in hits.items():
+        for found, span, part in parts:
+            # Items are alike: where another one has more of the very same words, those that differ aren't swapped but its own.
+            if (found, span) > best and not any(o != i and smith_waterman(items.words[o], part)[2] > found for o in whole):
+                best = found, span
+        if best[0]:
+            out.append((i, best[1], best[0]))
     return out
 
 

@@ -182,6 +182,20 @@ def test_smith_waterman():
     assert leakage.smith_waterman(a, np.array([99, 3, 4, 5, 99, 7, 8, 9])) == (3, 10, 6)
 
 
+def test_weak_copy_does_not_hide_a_passage(spark):
+    w = ITEM.split()
+    weak = " ".join(x if i % 9 in (0, 2, 4, 5, 7) else f"other{i}" for i, x in enumerate(w))
+    run, far = " ".join(w[4:16]), " ".join(f"far{i}" for i in range(40))
+    assert leaked(spark, [weak]) == []
+    assert leaked(spark, [f"{run} {weak}", f"{run} {far} {weak}", f"{weak} {far} {run}", f"{run} {'far ' * 400} {weak}"]) == [(i, 1) for i in range(4)]
+    # nor does it make one of nine words and a word more by chance
+    assert leaked(spark, [" ".join(w[4:13]) + f" a b {w[15]} {weak}"]) == []
+    # words that another item has, all of them, are no swapped words of one that is alike
+    other = "the adjourned hearing whereas the creditor from Klolvdrom demanded 3201 keys. What sum remains outstanding?"
+    alike = "the inherited hearing, provided the creditor from Kølkurk demanded 4824 keys. What sum remains outstanding?"
+    assert leaked(spark, [other], [(1, alike), (2, other)]) == [(0, 2)]
+
+
 def test_words():
     assert words.words("<p>BlÃ¥bær&nbsp;1 234 ﬁn</p> un-\nmarked") == words.words("blåbær 1234 fin unmarked")
 
