@@ -17,7 +17,7 @@ from sporlake.session import spread
 
 #: Score from which a document is to be reviewed.
 THRESHOLD = 1.0
-#: Words between two words of a phrase, and before a term in which its context is looked for.
+#: Words between two words of a phrase, and around a term in which its context is looked for.
 GAP, WINDOW = 7, 8
 #: Signs that hide one letter, and digits and signs that stand for letters.
 _ANY = set("*#@&%!?~^€")
@@ -86,6 +86,11 @@ _MILD = {plain(w) for w in X.MILD}
 _PHRASES = [[{plain(w) for w in c.split("|")} for c in p] for p in X.PHRASES]
 _ADDRESS = {plain(w) for w in X.ADDRESS}
 _NEUTRAL = {plain(w) for w in X.NEUTRAL}
+_KINDS = {plain(w) for w in X.KINDS}
+_VERDICT = {plain(w) for w in X.VERDICT}
+#: Words that turn to the reader, articles of a noun said of someone, and verbs before them.
+_SECOND = {plain(w) for w in "you youre your ya du deg din ditt dine dere".split()}
+_ARTICLE, _IS = {"a", "an", "en", "et", "ei"}, {plain(w) for w in "is are am was were er var ar".split()}
 _BOTH = {"svin": "dehuman"}
 #: Common words that are a letter away from a term.
 _COMMON = {plain(w) for w in "here more hope fore hver hvor horn høre hører hørte bore core tore store sore wore shore where these those side sist skit ship shot shut short shift shirt sit suit rate rates rats cats hats eats mats bats tape tapes paper papers tapes caper taper dust must just rust dusk duty best beach batch pitch ditch witch birch animal mall sum sums scam skum kuk kul kult køk tuk duk fitter filter bitter sitter fitting fine find send seks sekt sett six set sexes nakke nakken takke naken kate kart katt late rate dyre dyrt dyp dyr syr byr rotte rotten motter potter otter avsnitt sliter slik klips clip chips mild mile miles milk film tid tips hits bits its pits sits fits tit titt hell hello help held fell bell will wall well lose closer loser laser lover poser idiom idiomatic prink prikk price brick trick print stack luder lader loader loddet pule pulp rule kule hule puls gule porto port portal pork born".split()}
@@ -139,13 +144,26 @@ def sentences(text: str) -> Iterator[tuple[list[tuple[str, bool]], bool]]:
 
 
 def _phrase_hits(ws: list[str], near: dict[int, str]) -> int:
-    """Phrases of the lexicon in a sentence; each word may also be written in disguise (near)."""
+    """Phrases of the lexicon in a sentence, but for those of a verdict; each word may also be written in disguise (near)."""
     hits = 0
     for p in _PHRASES:
-        hits += any(_follows(p, i, ws, near) for i, w in enumerate(ws) if w in p[0] or near.get(i) in p[0])
+        hits += any(_follows(p, i, ws, near) and not _of_verdict(ws, i) for i, w in enumerate(ws) if w in p[0] or near.get(i) in p[0])
     return hits
 
 
+def _of_verdict(ws: list[str], i: int) -> bool:
+    """Whether the words before i say that someone was punished for what follows."""
+    before = ws[max(0, i - 2 * WINDOW) : i]
+    return "for" in before and any(w in _VERDICT for w in before[: len(before) - before[::-1].index("for")])
+
+
+def _damped(ws: list[str], i: int, said: bool) -> float:
+    """What a term at i counts for: words of reports, rules and trades around it halve it, unless it is said of someone."""
+    if said and not _of_verdict(ws, i) and (i + 1 == len(ws) or ws[i + 1] not in _KINDS or _SECOND & set(ws[max(0, i - 4) : i])):
+        return 1.0
+    return 0.5 ** (sum(w in _NEUTRAL for w in ws[max(0, i - WINDOW) : i + WINDOW + 1]) + (i + 1 < len(ws) and ws[i + 1] in _KINDS) + _of_verdict(ws, i))
+
+
 def _follows(p: list[set[str]], at: int, ws: list[str], near: dict[int, str]) -> bool:
     for choices in p[1:]:
         at = next((i for i in range(at + 1, min(len(ws), at + 1 + GAP)) if ws[i] in choices or near.get(i) in choices), -1)
@@ -160,16 +178,16 @@ _FIRST = {w for p in _PHRASES for w in p[0]}
 def sentence_score(tokens: list[tuple[str, bool]], quoted: bool) -> float:
     """Score of one sentence: phrases, insults said of someone, people called vermin, explicit words together.
 
-    Words of reports, rules and trades beside a term lower the score of terms, as does a quotation.
+    Words of reports, rules and trades near a term lower its score, but not that of phrases and of what is said to or of
+    someone; a quotation lowers the score of the sentence.
     """
     ws = [t for t, _ in tokens]
     found = [term(*t) for t in tokens]
     near = {i: f[0] for i, f in enumerate(found) if f}
     if not near and not any(w in _FIRST for w in ws):
         return 0.0
-    neutral = sum(w in _NEUTRAL for w in ws)
     score = 1.0 * _phrase_hits(ws, near)
-    explicit, mild = 0, 0
+    explicit, mild, terms = 0.0, 0.0, 0
     for i, f in enumerate(found):
         if not f:
             continue
@@ -179,19 +197,19 @@ def sentence_score(tokens: list[tuple[str, bool]], quoted: bool) -> float:
         if kind == "insult":
             article = bool({"a", "an", "en", "et", "you", "din", "ditt"} & set(ws[max(0, i - 3) : i])) or any(near.get(k) and found[k][1] == "strong" for k in range(max(0, i - 2), i))
             if address and (article or exact and len(word) > 5) and (exact or article or len(word) > 6):
-                score += 1.0
+                score += _damped(ws, i, bool(_SECOND & set(ws[max(0, i - 4) : i])) or bool(_ARTICLE & set(ws[max(0, i - 3) : i]) and _IS & set(ws[max(0, i - 4) : i])))
         elif kind == "dehuman":
             direct = ws[max(0, i - 3) : i]
             if {"are", "er", "ar"} & set(direct) and not {"there", "det", "these", "this", "vi", "we", "our", "my"} & set(window):
-                score += 1.0 if exact or len(word) > 3 or any(k in near and found[k][1] == "strong" for k in range(max(0, i - 2), i)) else 0.5
+                sure = exact or len(word) > 3 or any(k in near and found[k][1] == "strong" for k in range(max(0, i - 2), i))
+                score += (1.0 if sure else 0.5) * _damped(ws, i, bool(_SECOND & set(direct)))
         elif kind == "explicit":
+            terms += 1
             if word in _MILD:
-                mild += 1
+                mild += _damped(ws, i, False)
             else:
-                explicit += 1
-    score += 0.6 * explicit + 0.4 * mild if explicit + mild > 1 else 0.5 * explicit
-    if neutral:
-        score *= 0.5**neutral
+                explicit += _damped(ws, i, False)
+    score += 0.6 * explicit + 0.4 * mild if terms > 1 else 0.5 * explicit
     if quoted:
         score *= 0.5
     return score

@@ -57,9 +57,13 @@ ADDRESS = set("you your youre du din ditt dine deg dere is are am was were er va
 #: Words of reports, rules, trades and medicine, where such words are meant in another way.
 NEUTRAL = set(
     """
-file drawer valve nut shaft cylinders cylinder clamp cable switch mary mix rapeseed bedding cellar exterminated policy warning court fined judge sentenced seminar course education
+drawer valve shaft cylinders cylinder clamp cable rapeseed bedding cellar exterminated policy warning court fined judge sentenced seminar education
 minorities patients cancer rights proof cockpit tingretten dømte bot ytringer seminar kurset kurs retningslinjene retningslinjer advarsel skadedyr kjelleren utryddet helse brystkreft septik låser dumperen
-zoo farm farms veterinary veterinær dyrlege dyrehage husdyr dyrevern lab laboratory ordbok dictionary leksikon defined betyr betydning
+zoo farm farms veterinary veterinær dyrlege dyrehage husdyr dyrevern lab laboratory ordbok dictionary leksikon defined betydning
 """.split()
 )
+#: Everyday words that make a term right before them the name of a kind, as in "bastard file".
+KINDS = set("file nut switch mix valve clamp".split())
+#: What is done to people for what they said.
+VERDICT = set("fined sentenced convicted warned dømte dømt bøtelagt advart".split())
 QUOTES = "\"“”«»„‘"

@@ -219,6 +219,16 @@ def test_neutral_text_is_not(text):
     assert abuse.abuse_score(text)[0] < abuse.THRESHOLD
 
 
+@pytest.mark.parametrize("text", ["Of course you are an idiot.", "Mary is a stupid bitch.", "I will kill you, judge.", "You are an idiot, and the valve is broken.", "The judge is an idiot.", "The court date is late and you are a moron.", "Det betyr at du er en tulling.", "You idiot, file the drawer."])
+def test_neutral_words_do_not_excuse_abuse(text):
+    assert abuse.abuse_score(text)[0] >= abuse.THRESHOLD
+
+
+@pytest.mark.parametrize("text", ["This is a bastard file.", "A court fined a man for writing I will kill you to a guard.", "Tingretten dømte en mann for å skrive at du er en tulling.", "The master and slave cylinders were replaced and the bastard file was put back in the drawer.", "Rats are parasites in the lab."])
+def test_reports_and_trades_are_not_abuse(text):
+    assert abuse.abuse_score(text)[0] < abuse.THRESHOLD
+
+
 def test_automaton_is_damerau_levenshtein():
     t = abuse.Trie({w: "x" for w in ("moron", "idiot", "rotter")})
     for word in ("moron", "mornon", "mroon", "morn", "xoron", "m?ron", "abc", "rottre"):
