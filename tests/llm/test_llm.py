@@ -97,6 +97,23 @@ def test_readings_of_names(trades, typed, name):
     assert any(t in (None, reg[1]) for _, t in hits)
 
 
+@pytest.mark.parametrize("typed,core", [("fojgrunhenfork", ["fjogrin", "henfork"]), ("sondorkinlyn", ["sondir", "kunlyn"]), ("bmnandtasin", ["bamnan", "drasin"]), ("hamhulkvogndtal", ["hamhulkvongdal"])])
+def test_names_with_errors_at_both_ends_meet(typed, core):
+    assert names.compare([typed], core)
+    assert names.typed_forms([typed]) & names.registered_forms(core)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("abcdefghij", min_size=9, max_size=24), st.lists(st.tuples(st.integers(0, 3), st.integers(0, 23), st.sampled_from("abcxyz")), min_size=1, max_size=3))
+def test_every_name_within_the_allowed_edits_is_compared(name, edits):
+    typed = name
+    for kind, i, c in edits:
+        i %= max(1, len(typed))
+        typed = (typed[:i] + typed[i + 1 :], typed[:i] + c + typed[i:], typed[:i] + c + typed[i + 1 :], typed[:i] + typed[i : i + 2][::-1] + typed[i + 2 :])[kind]
+    if names.compare([typed], [name]):
+        assert names.typed_forms([typed]) & names.registered_forms([name])
+
+
 @pytest.mark.parametrize("typed", ["Drørkhest Nulvrol Elektro AS", "-", "", "privat", "Styreleder", "Drørkhest", "x" * 5000])
 def test_no_readings_of_other_names(trades, typed):
     reg = names.parse_registered("Drørkhest Kånhum Elektro AS", trades)
