@@ -25,6 +25,8 @@ _LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t",
 
 _SPACED = re.compile(r"(?<![^\s\"'(«“„])[^\W\d_]([ ._*-])(?:[^\W\d_]\1)+[^\W\d_](?=[\s.,!?;:\"')»”]|$)")
 _BOUNDARY = re.compile(r"[.!?…]+(?=\s|$)|[\r\n]+|[;:](?=\s)")
+#: A single line end inside a sentence.
+_WRAP = re.compile(r"(?<=[a-zæøåäö,])[ \t]*(?:\r\n|\r|\n)[ \t]*(?=[a-zæøåäö])")
 _TOKEN = re.compile(r"[^\s.,;:()\[\]{}<>\"“”«»„/\\–—-]+")
 _RUN = re.compile(r"(.)\1\1+")
 _NORDIC = str.maketrans({"å": "a", "ä": "a", "æ": "a", "ø": "o", "ö": "o"})
@@ -135,7 +137,7 @@ def term(token: str, title: bool) -> tuple[str, str, bool] | None:
 
 def sentences(text: str) -> Iterator[tuple[list[tuple[str, bool]], bool]]:
     """Tokens (plain text, written as a capitalised word) of each sentence, and whether it holds a quotation."""
-    text = _SPACED.sub(lambda m: re.sub(r"[ ._*-]", "", m[0]) + " ", unescape(text))
+    text = _SPACED.sub(lambda m: re.sub(r"[ ._*-]", "", m[0]) + " ", _WRAP.sub(" ", unescape(text)))
     for s in _BOUNDARY.split(text):
         if s and not s.isspace():
             tokens = [(plain(x), x.istitle() and x.isalpha()) for x in _TOKEN.findall(s)]
@@ -216,11 +218,19 @@ def sentence_score(tokens: list[tuple[str, bool]], quoted: bool) -> float:
 
 
 def abuse_score(text: str | None) -> tuple[float, float, int]:
-    """(score of the worst sentence, sum over sentences, sentences at or over the threshold)."""
+    """(score of the worst sentence or of two neighbours, sum over sentences, sentences at or over the threshold).
+
+    Neighbours add up unless one is quoted or has words of reports, rules or trades.
+    """
     if not text:
         return 0.0, 0.0, 0
-    got = [sentence_score(*s) for s in sentences(text)]
-    return max(got, default=0.0), sum(got), sum(s >= THRESHOLD for s in got)
+    got, worst, before = [], 0.0, 0.0
+    for tokens, quoted in sentences(text):
+        got.append(sentence_score(tokens, quoted))
+        plainly = got[-1] if got[-1] and not quoted and not any(t in _NEUTRAL for t, _ in tokens) else 0.0
+        worst = max(worst, got[-1], before + plainly)
+        before = plainly
+    return worst, sum(got), sum(s >= THRESHOLD for s in got)
 
 
 def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,7 +243,7 @@ def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def scored(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """``id``, ``source``, score, total, sentences of each row; whole texts, no shuffle.
 
-    Null, empty and blank texts score 0. A document is to be reviewed if its worst sentence reaches THRESHOLD.
+    Null, empty and blank texts score 0. A document is to be reviewed if its worst sentence, or two neighbours, reach THRESHOLD.
     Repeated rows are scored each; null ids stay; columns other than the three aren't read.
     """
     rows = spread(docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("t"), F.col(source).alias("source")))

@@ -241,6 +241,16 @@ def test_neutral_words_do_not_excuse_abuse(text):
     assert abuse.abuse_score(text)[0] >= abuse.THRESHOLD
 
 
+@pytest.mark.parametrize("text", ["I hope you\nchoke on it", "You are an\r\nidiot", "Du er en\n  tulling.", "Blowjob. Handjob.", "Ludder!\nKnulle!"])
+def test_abuse_across_lines_and_sentences(text):
+    assert abuse.abuse_score(text)[0] >= abuse.THRESHOLD
+
+
+@pytest.mark.parametrize("text", ["You are an\n\nidiot-proof lock", "Blowjob. A court case. Handjob.", "Porn.\nSeminar: porn and the patients."])
+def test_other_lines_and_sentences_do_not_add_up(text):
+    assert abuse.abuse_score(text)[0] < abuse.THRESHOLD
+
+
 @pytest.mark.parametrize("text", ["This is a bastard file.", "A court fined a man for writing I will kill you to a guard.", "Tingretten dømte en mann for å skrive at du er en tulling.", "The master and slave cylinders were replaced and the bastard file was put back in the drawer.", "Rats are parasites in the lab."])
 def test_reports_and_trades_are_not_abuse(text):
     assert abuse.abuse_score(text)[0] < abuse.THRESHOLD
