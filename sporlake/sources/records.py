@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sporlake.operators.ranking import first_per
+from sporlake.session import cut
 
 
 def read_archive_lines(spark: SparkSession, path: str, suffix: str = ".jsonl") -> DataFrame:
@@ -68,15 +69,23 @@ def sitemap_entries(pages: DataFrame, xml: str = "xml") -> DataFrame:
     return pages.withColumn("page_urls", pick("//url/loc/text()", ~is_index)).withColumn("index_urls", pick("//sitemap/loc/text()", is_index))
 
 
-def expand_sitemaps(seeds: DataFrame, recorded: DataFrame, rounds: int = 3) -> DataFrame:
-    """Page addresses below seeds (org, url), following sitemap indexes for a bounded number of rounds."""
-    front, pages = seeds.select("org", "url"), None
-    for _ in range(rounds):
-        read = sitemap_entries(front.join(recorded.select("url", "xml"), "url"))
+def expand_sitemaps(seeds: DataFrame, recorded: DataFrame) -> DataFrame:
+    """Page addresses below seeds (org, url), following sitemap indexes until none is new; indexes may name each other.
+
+    Eager: each level of indexes is computed once and cut.
+    """
+    front, pages, seen = seeds.select("org", "url").distinct(), None, None
+    while True:
+        front = cut(front)
+        if pages is not None and front.isEmpty():
+            return pages.distinct()
+        seen = front if seen is None else seen.unionByName(front)
+        read = cut(sitemap_entries(front.join(recorded.select("url", "xml"), "url")).select("org", "page_urls", "index_urls"))
         found = read.select("org", F.explode("page_urls").alias("url"))
         pages = found if pages is None else pages.unionByName(found)
-        front = read.select("org", F.explode("index_urls").alias("url")).distinct()
-    return pages.distinct()
+        # Null-safe, as in a set: a seed without org is followed once, too.
+        below = read.select("org", F.explode("index_urls").alias("url")).distinct().alias("b")
+        front = below.join(seen.alias("s"), F.col("b.org").eqNullSafe(F.col("s.org")) & (F.col("b.url") == F.col("s.url")), "left_anti")
 
 
 def robots_sitemaps(c):

@@ -60,6 +60,15 @@ def test_replay_and_sitemaps(spark):
     assert spark.range(1).select(records.robots_sitemaps(F.lit("User-agent: *\nSitemap: https://a/s.xml\n"))).head()[0] == ["https://a/s.xml"]
 
 
+def test_sitemap_indexes_of_any_depth(spark):
+    index = lambda *to: "<sitemapindex>" + "".join(f"<sitemap><loc>{x}</loc></sitemap>" for x in to) + "</sitemapindex>"
+    # six levels down, and back to the first one
+    xml = [(f"i{k}", index(f"i{k + 1}", "i0")) for k in range(5)] + [("i5", index("p", "i2")), ("p", "<urlset><url><loc>https://a/1</loc></url></urlset>")]
+    seeds = spark.createDataFrame([("1", "i0"), ("1", "i0"), (None, "i4")], "org string, url string")
+    got = records.expand_sitemaps(seeds, spark.createDataFrame(xml, "url string, xml string")).collect()
+    assert sorted((r.org or "", r.url) for r in got) == [("", "https://a/1"), ("1", "https://a/1")]
+
+
 def test_cases(spark, tmp_path):
     p = tmp_path / "c.json"
     p.write_text(json.dumps({"cases": [{"case_id": "a"}, {"case_id": "a"}, {"case_id": "b"}]}))
