@@ -4,44 +4,51 @@ from __future__ import annotations
 
 import base64
 import functools
+from array import array
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sporlake.session import spread
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+#: Rank file of the tokenizer: base64 bytes and id a line.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Characters of a chunk and of the overlap in which the pre-tokens of two chunks must meet again.
 CHUNK, OVERLAP = 4096, 512
+#: Chunks of one text that are pre-tokenised, and pieces that are encoded, at the same time.
+THREADS = 4
 #: Pre-tokens of byte-level BPE (fixed pattern of the tokenizer).
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _PRE = regex.compile(PATTERN)
 
 
 @functools.lru_cache(maxsize=4)
-def _tokenizer(path: str):
-    import os
+def _ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
 
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
+@functools.lru_cache(maxsize=4)
+def encoding(path: str = VOCABULARY):
+    """The tokenizer of a rank file, without special tokens."""
+    import tiktoken
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=_ranks(path), special_tokens={})
 
 
-def safe_ends(text: str, start: int, last: bool) -> list[int]:
-    """Pre-token ends of a chunk at which the text may be cut.
+def safe_ends(text: str, start: int, last: bool, lo: int = 0) -> list[int]:
+    """Pre-token ends of a chunk, from place ``lo`` on, at which the text may be cut.
 
     A cut after white space would join or part a run of it, so only ends after another character count; a token
     close to the end of a chunk that isn't the last may be longer in truth.
     """
     limit = len(text) if last else len(text) - 3
-    return [start + m.end() for m in _PRE.finditer(text) if m.end() <= limit and not text[m.end() - 1].isspace()]
+    return [start + m.end() for m in _PRE.finditer(text, concurrent=True) if lo <= m.end() <= limit and not text[m.end() - 1].isspace()]
 
 
 def stitch(chunks: list[tuple[int, str, list[int]]], length: int) -> list[int]:
@@ -66,100 +73,58 @@ def chunks_of(text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[tup
         start += chunk
 
 
-def _split(chunk: int, overlap: int):
-    """Rows (id, order, of, start, text): short texts whole, long ones in overlapping chunks."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                parts = chunks_of(t or "", chunk, overlap)
-                rows += [(i, k, len(parts), s, x) for k, (s, x) in enumerate(parts)]
-                if len(rows) >= 2000:
-                    yield _batch(rows)
-                    rows = []
-            if rows:
-                yield _batch(rows)
-
-    def _batch(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string()), strict=True)], ["id", "k", "n", "start", "text"])
-
-    return run
-
-
-def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pre-token ends of each chunk of a long text in its two overlaps, where alone a cut can fall."""
-    for batch in batches:
-        ends = []
-        for k, n, s, x in zip(*(batch.column(c).to_pylist() for c in ("k", "n", "start", "text")), strict=True):
-            ends.append(safe_ends(x, s, k == n - 1))
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ends, pa.list_(pa.int64()))], [*batch.schema.names, "ends"])
+def pieces(text: str, chunk: int = CHUNK, overlap: int = OVERLAP, pool: ThreadPoolExecutor | None = None) -> list[str]:
+    """The pieces of a text that may be encoded apart: its chunks are pre-tokenised apart and stitched."""
+    parts = chunks_of(text, chunk, overlap)
+    if len(parts) == 1:
+        return [text]
+    run = pool.map if pool else map
+    ends = run(lambda k: safe_ends(parts[k][1], parts[k][0], k == len(parts) - 1), range(len(parts)))
+    b = [0, *stitch([(s, x, e) for (s, x), e in zip(parts, ends, strict=True)], len(text)), len(text)]
+    return [text[i:j] for i, j in zip(b[:-1], b[1:], strict=True)]
 
 
-def _encode(path: str):
+def _encode(path: str, chunk: int, overlap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = _tokenizer(path)
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            ids = [e.ids for k in range(0, len(texts), 256) for e in t.encode_batch(texts[k : k + 256], add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("k"), pa.array(ids, pa.list_(pa.int32()))], ["id", "k", "ids"])
+        enc = encoding(path)
+        with ThreadPoolExecutor(THREADS) as pool:
+            for batch in batches:
+                flat, ends = array("i"), array("i", [0])
+                for t in batch.column(1).to_pylist():
+                    if t and len(t) <= chunk + overlap:
+                        flat.extend(enc.encode_ordinary(t))
+                    elif t:
+                        for e in enc.encode_ordinary_batch(pieces(t, chunk, overlap, pool), num_threads=THREADS):
+                            flat.extend(e)
+                    ends.append(len(flat))
+                ids = pa.ListArray.from_arrays(np.frombuffer(ends, np.int32), np.frombuffer(flat, np.int32) if flat else np.empty(0, np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["id", "ids"])
 
     return run
 
 
-_CHUNKS = "id long, k int, n int, start long, text string"
-
-
 def token_ids(docs: DataFrame, id: str = "doc_id", text: str = "text", path: str = VOCABULARY, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """``id`` and ids, the tokens of each text without special tokens; the strings of special tokens are ordinary text.
 
     Null and empty texts both give an empty list. Rows are kept as they are: repeated rows give repeated rows, a
-    null id stays. Other columns aren't read. Long texts become overlapping chunks, which are pre-tokenised apart;
-    neighbouring chunks are cut where their pre-token ends first agree, and the pieces are encoded apart. A token
-    longer than the overlap just leaves two pieces in one. Only the pieces of a long text come together, as ids.
-    """
-    keyed = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id).alias("key"), F.col(text).alias("t"))
-    whole = F.coalesce(F.length("t"), F.lit(0)) <= chunk + overlap
-    short = keyed.where(whole).select("row", "key", F.coalesce("t", F.lit("")).alias("t"))
-    done = spread(short.select(F.col("key").cast("long").alias("id"), F.lit(0).alias("k"), F.col("t").alias("text"))).mapInArrow(_encode(path), "id long, k int, ids array<int>").select(F.col("id"), "ids")
-    long_ = keyed.where(~whole).select("row", F.col("key").cast("long").alias("key"), "t")
-    parts = long_.select(F.col("row").alias("id"), "t").mapInArrow(_split(chunk, overlap), _CHUNKS)
-    # The split is a narrow pass over few rows; the chunks then spread over the cluster.
-    parts = parts.repartition("id", "k")
-    ends = parts.mapInArrow(_ends, _CHUNKS + ", ends array<long>")
-    cuts = ends.select("id", "k", "n", "start", "ends", F.lit(overlap).alias("overlap"), F.lit(chunk).alias("chunk"))
-    near = cuts.select("id", "k", "n", "start", F.filter("ends", lambda e: e <= F.col("start") + overlap).alias("head"), F.filter("ends", lambda e: e > F.col("start") + chunk).alias("tail"))
-    nxt = near.select("id", (F.col("k") - 1).alias("k"), "head")
-    joined = near.select("id", "k", "tail").join(nxt, ["id", "k"]).select("id", "k", F.array_min(F.array_intersect("tail", "head")).alias("cut"))
-    found = joined.where("cut is not null").groupBy("id").agg(F.sort_array(F.collect_list("cut")).alias("cuts"))
-    pieces = long_.join(found, long_.row == found.id, "left").select("row", "key", "t", F.coalesce("cuts", F.array().cast("array<long>")).alias("cuts"))
-    b = F.concat(F.array(F.lit(0).cast("long")), F.col("cuts"), F.array(F.length("t").cast("long")))
-    at = pieces.select("row", "key", "t", F.explode(F.transform(F.arrays_zip(F.slice(b, F.lit(1), F.size(b) - 1).alias("a"), F.slice(b, F.lit(2), F.size(b) - 1).alias("z")), lambda x: x)).alias("p"))
-    cut_text = at.select("row", "key", F.col("p.a").alias("a"), F.expr("substring(t, cast(p.a as int) + 1, cast(p.z - p.a as int))").alias("text"))
-    encoded = cut_text.select(F.struct("row", "key").alias("rk"), "a", "text")
-    ids = encoded.select(F.col("rk.row").alias("id"), "rk.key", "a", "text").repartition("id", "a").mapInArrow(_encode_pieces(path), "id long, key long, a long, ids array<int>")
-    together = ids.groupBy("id").agg(F.max("key").alias("key"), F.sort_array(F.collect_list(F.struct("a", "ids"))).alias("p")).select(F.col("key").alias("id"), F.flatten(F.transform("p", lambda x: x["ids"])).alias("ids"))
-    return done.unionByName(together).select(F.col("id").alias(id), F.col("ids").cast(T.ArrayType(T.IntegerType())).alias("ids"))
-
-
-def _encode_pieces(path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = _tokenizer(path)
-        for batch in batches:
-            ids = [e.ids for e in t.encode_batch(batch.column("text").to_pylist(), add_special_tokens=False)] if batch.num_rows else []
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), batch.column("a"), pa.array(ids, pa.list_(pa.int32()))], ["id", "key", "a", "ids"])
+    null id stays. Other columns aren't read. Long texts become overlapping chunks, which are pre-tokenised apart and
+    at the same time; neighbouring chunks are cut where their pre-token ends first agree, and the pieces are encoded
+    apart. A token longer than the overlap just leaves two pieces in one.
 
-    return run
+    One pass over the documents, nothing is joined or grouped: a text is one value of one row, so the task that reads
+    it holds it anyway, and its chunks run on the task's threads.
+    """
+    rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("t"))
+    out = spread(rows).mapInArrow(_encode(path, chunk, overlap), "id long, ids array<int>")
+    return out.select(F.col("id").alias(id), "ids")
 
 
 @functools.lru_cache(maxsize=2)
 def _bytes_of_tokens(path: str) -> dict[int, bytes]:
-    """Token bytes from a rank file (base64 bytes and rank a line)."""
-    with open(path, "rb") as f:
-        return {int(b): base64.b64decode(a) for a, b in map(bytes.split, f)}
+    return {i: b for b, i in _ranks(path).items()}
 
 
-def decode(ids: list[int], ranks: str = "/opt/tokenizers/byte_bpe_50k.tiktoken") -> str:
+def decode(ids: list[int], path: str = VOCABULARY) -> str:
     """The text of ids: their raw bytes one after the other."""
-    table = _bytes_of_tokens(ranks)
+    table = _bytes_of_tokens(path)
     return b"".join(table[i] for i in ids).decode("utf-8", errors="replace")

@@ -136,14 +136,23 @@ def test_meant_companies(spark):
 # ---- tokenizer
 
 
+@pytest.fixture(scope="module")
+def whole():
+    """The ids of a whole text by another implementation of the same tokenizer."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file("/opt/tokenizers/byte_bpe_50k.json")
+    t.encode_special_tokens = True
+    return lambda text: t.encode(text or "", add_special_tokens=False).ids
+
+
 def encoded(spark, data, **kw):
     return dict(rows(tokenizer.token_ids(spark.createDataFrame(data, "doc_id long, text string, id long, ids string"), **kw), "doc_id", "ids"))
 
 
-def test_token_ids(spark):
-    t = tokenizer._tokenizer(tokenizer.VOCABULARY)
-    texts = ["", None, "Hei, it's we're ''re", "a " * 4000 + "  \n\n x", "x" * 9000, " " * 9000 + "b", "日本語 ǻ " * 900, "<|endoftext|>" * 800, "1234567890" * 700, "\r\n\t" * 2500]
-    want = {i: t.encode(x or "", add_special_tokens=False).ids for i, x in enumerate(texts)}
+def test_token_ids(spark, whole):
+    texts = ["", None, "Hei, it's we're ''re", "a " * 4000 + "  \n\n x", "x" * 9000, " " * 9000 + "b", "日本語 ǻ " * 900, "<|endoftext|>" * 800, "1234567890" * 700, "\r\n\t" * 2500]
+    want = {i: whole(x) for i, x in enumerate(texts)}
     for kw in ({}, {"chunk": 40, "overlap": 7}):
         got = encoded(spark, [(i, x, 0, "c") for i, x in enumerate(texts)], **kw)
         assert got == want
@@ -151,21 +160,23 @@ def test_token_ids(spark):
     assert encoded(spark, []) == {}
 
 
-def test_token_ids_of_the_corpus(spark, sf_small):
-    t = tokenizer._tokenizer(tokenizer.VOCABULARY)
-    for r in tokenizer.token_ids(spark.read.parquet(f"{sf_small}/documents.parquet"), chunk=300, overlap=60).join(spark.read.parquet(f"{sf_small}/documents.parquet"), "doc_id").select("text", "ids").collect():
-        assert list(r.ids) == t.encode(r.text or "", add_special_tokens=False).ids
+def test_token_ids_keep_rows(spark):
+    d = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c")], "doc_id long, text string")
+    assert sorted(len(r.ids) for r in tokenizer.token_ids(d).collect()) == [1, 2, 2]
+
+
+def test_token_ids_of_the_corpus(spark, sf_small, whole):
+    d = spark.read.parquet(f"{sf_small}/documents.parquet")
+    texts = {r.doc_id: r.text for r in d.select("doc_id", "text").collect()}
+    for r in tokenizer.token_ids(d, chunk=300, overlap=60).collect():
+        assert list(r.ids) == whole(texts[r.doc_id])
 
 
 @settings(max_examples=150, deadline=None)
 @given(st.text(st.sampled_from("ab' \n\t1.é日re"), max_size=120), st.integers(6, 30), st.integers(4, 12))
 def test_stitched_pieces_encode_as_the_whole(text, chunk, overlap):
-    t = tokenizer._tokenizer(tokenizer.VOCABULARY)
-    parts = tokenizer.chunks_of(text, chunk, overlap)
-    cuts = tokenizer.stitch([(s, x, tokenizer.safe_ends(x, s, k == len(parts) - 1)) for k, (s, x) in enumerate(parts)], len(text))
-    b = [0, *cuts, len(text)]
-    pieces = [text[i:j] for i, j in zip(b, b[1:])]
-    assert [i for e in t.encode_batch(pieces, add_special_tokens=False) for i in e.ids] == t.encode(text, add_special_tokens=False).ids
+    enc = tokenizer.encoding()
+    assert [i for x in tokenizer.pieces(text, chunk, overlap) for i in enc.encode_ordinary(x)] == enc.encode_ordinary(text)
 
 
 # ---- leakage
