@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import functools
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,17 +19,19 @@ from sporlake.session import spread
 
 #: Score from which a document is to be reviewed.
 THRESHOLD = 1.0
-#: Words between two words of a phrase, and around a term in which its context is looked for.
+#: Words between two words of a pattern, and around a term in which its context is looked for.
 GAP, WINDOW = 7, 8
+#: A quotation of so many words or more is what another said; shorter ones are scorn.
+QUOTATION = 4
+#: Written tokens whose reading a task remembers.
+REMEMBERED = 400_000
 #: Signs that hide one letter, and digits and signs that stand for letters.
 _ANY = set("*#@&%!?~^€")
 _LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "+": "t", "|": "il", "€": "e", "£": "l"}
 
-_SPACED = re.compile(r"(?<![^\s\"'(«“„])[^\W\d_]([ ._*-])(?:[^\W\d_]\1)+[^\W\d_](?=[\s.,!?;:\"')»”]|$)")
-_BOUNDARY = re.compile(r"[.!?…]+(?=\s|$)|[\r\n]+|[;:](?=\s)")
-#: A single line end inside a sentence.
-_WRAP = re.compile(r"(?<=[a-zæøåäö,])[ \t]*(?:\r\n|\r|\n)[ \t]*(?=[a-zæøåäö])")
 _TOKEN = re.compile(r"[^\s.,;:()\[\]{}<>\"“”«»„/\\–—-]+")
+_SPELLED = re.compile(r"[\"'(«“„]*([^\W\d_])([._*-])(?:[^\W\d_]\2)+([^\W\d_])[.,!?;:\"')»”]*")
+_END = re.compile(r"(?:[.!?…]+[\"')»”]*|[;:])$")
 _RUN = re.compile(r"(.)\1\1+")
 _NORDIC = str.maketrans({"å": "a", "ä": "a", "æ": "a", "ø": "o", "ö": "o"})
 
@@ -43,194 +47,371 @@ def plain(text: str) -> str:
 class Trie:
     """A lexicon; find() intersects it with the Levenshtein automaton of a word (transpositions count once)."""
 
-    def __init__(self, entries: dict[str, str]):
+    def __init__(self, words):
         self.root: dict = {}
-        for word, kind in entries.items():
+        for word in words:
             node = self.root
             for c in word:
                 node = node.setdefault(c, {})
-            node[""] = (word, kind)
+            node[""] = word
 
-    def find(self, letters: list[str], most: int) -> list[tuple[int, str, str]]:
-        """(distance, word, kind) of the words within ``most`` edits. letters: the choices at each place, '' for any."""
-        n, out = len(letters), []
-        stack = [(self.root, list(range(n + 1)), None, "", "")]
+    def find(self, letters: list[str], most: int) -> list[tuple[int, str]]:
+        """(distance, word) of the words within ``most`` edits. letters: the choices at each place, '' for any.
+
+        States of the automaton are (node, letters read, edits so far); only those that can still be reached are kept,
+        so a token leaves the trie soon after its first letters do.
+        """
+        n, best = len(letters), {}
+        stack = [(self.root, 0, 0)]
+        seen = set()
         while stack:
-            node, row, before, last, _ = stack.pop()
-            if (end := node.get("")) is not None and row[n] <= most:
-                out.append((row[n], *end))
+            node, j, e = state = stack.pop()
+            key = (id(node), j, e)
+            if key in seen:
+                continue
+            seen.add(key)
+            if j == n:
+                if (w := node.get("")) is not None and e < best.get(w, most + 1):
+                    best[w] = e
+            else:
+                x = letters[j]
+                for c in x if x else node:
+                    if c and (child := node.get(c)) is not None:
+                        stack.append((child, j + 1, e))
+            if e == most:
+                continue
+            node, j, e = state
+            if j < n:
+                stack.append((node, j + 1, e + 1))
+                if j + 1 < n:
+                    for c in letters[j + 1] or node:
+                        if c and (child := node.get(c)) is not None:
+                            for d in x if x else child:
+                                if d and (grand := child.get(d)) is not None:
+                                    stack.append((grand, j + 2, e + 1))
             for c, child in node.items():
-                if not c:
-                    continue
-                now = [row[0] + 1]
-                for j in range(1, n + 1):
-                    x = letters[j - 1]
-                    d = min(row[j] + 1, now[j - 1] + 1, row[j - 1] + (0 if not x or c in x else 1))
-                    if before is not None and j > 1 and last and c in letters[j - 2] and last in x:
-                        d = min(d, before[j - 2] + 1)
-                    now.append(d)
-                if min(now) <= most:
-                    stack.append((child, now, row, c, ""))
-        return out
-
-
-def _entries() -> dict[str, str]:
-    out: dict[str, str] = {}
-    for kind, ws in (("phrase", [w for p in X.PHRASES for c in p for w in c.split("|") if len(w) > 4 or w in X.SHORT]), ("strong", X.STRONG), ("explicit", X.EXPLICIT), ("dehuman", X.DEHUMAN), ("insult", X.INSULT)):
-        for w in ws:
-            out[plain(w)] = kind
-    return out
+                if c:
+                    stack.append((child, j, e + 1))
+                    if j < n:
+                        stack.append((child, j + 1, e + 1))
+        return [(e, w) for w, e in best.items()]
 
 
-_LEXICON = _entries()
-_TRIE = Trie(_LEXICON)
-_MILD = {plain(w) for w in X.MILD}
-_PHRASES = [[{plain(w) for w in c.split("|")} for c in p] for p in X.PHRASES]
-_ADDRESS = {plain(w) for w in X.ADDRESS}
-_NEUTRAL = {plain(w) for w in X.NEUTRAL}
-_KINDS = {plain(w) for w in X.KINDS}
-_VERDICT = {plain(w) for w in X.VERDICT}
-#: Words that turn to the reader, articles of a noun said of someone, and verbs before them.
-_SECOND = {plain(w) for w in "you youre your ya du deg din ditt dine dere".split()}
-_ARTICLE, _IS = {"a", "an", "en", "et", "ei"}, {plain(w) for w in "is are am was were er var ar".split()}
-_BOTH = {"svin": "dehuman"}
-#: Common words that are a letter away from a term.
-_COMMON = {plain(w) for w in "here more hope fore hver hvor horn høre hører hørte bore core tore store sore wore shore where these those side sist skit ship shot shut short shift shirt sit suit rate rates rats cats hats eats mats bats tape tapes paper papers tapes caper taper dust must just rust dusk duty best beach batch pitch ditch witch birch animal mall sum sums scam skum kuk kul kult køk tuk duk fitter filter bitter sitter fitting fine find send seks sekt sett six set sexes nakke nakken takke naken kate kart katt late rate dyre dyrt dyp dyr syr byr rotte rotten motter potter otter avsnitt sliter slik klips clip chips mild mile miles milk film tid tips hits bits its pits sits fits tit titt hell hello help held fell bell will wall well lose closer loser laser lover poser idiom idiomatic prink prikk price brick trick print stack luder lader loader loddet pule pulp rule kule hule puls gule porto port portal pork born".split()}
-
-
-@functools.lru_cache(maxsize=200_000)
-def term(token: str, title: bool) -> tuple[str, str, bool] | None:
-    """(word, kind, exact) of the lexicon that a token writes, in whatever disguise."""
-    t = token.strip("'’`´")
-    if t.endswith("!") or t.endswith("?"):
-        t = t.rstrip("!?")
-    if not t or not any(c.isalpha() for c in t):
-        if not any(c in "$@" for c in t) or len(t) < 4:
-            return None
-    if t in _LEXICON:
-        return t, _LEXICON[t], True
+BIT = {name: 1 << k for k, name in enumerate(X.CLASSES)}
+
+
+def _mask(names) -> int:
+    return reduce(int.__or__, (BIT[n] for n in names), 0)
+
+
+_LEXICON: dict[str, int] = {}
+for _name, _words in X.CLASSES.items():
+    for _w in _words.split():
+        _LEXICON[plain(_w)] = _LEXICON.get(plain(_w), 0) | BIT[_name]
+_HIDDEN = _mask(X.DISGUISED)
+_TERMS = {w for w, m in _LEXICON.items() if m & _HIDDEN and len(w) > 2}
+#: A plain word a letter away from a short term is mostly another word: only long terms are looked for with any error.
+LONG = 7
+_LONG = sorted(w for w in _TERMS if len(w) >= LONG)
+_TRIE, _LONG_TRIE = Trie(_TERMS), Trie(_LONG)
+
+
+def _letters(word: str) -> int:
+    """The set of a word's letters as bits."""
+    return reduce(int.__or__, (1 << (ord(c) & 63) for c in word), 0)
+
+
+def _table(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([_letters(w) for w in words], np.uint64), np.array([len(w) for w in words])
+
+
+_SOME, _LONG_SOME = _table(sorted(_TERMS)), _table(_LONG)
+
+
+def _may_be(letters: list[str], most: int, odd: bool) -> bool:
+    """Whether a term has about the length and the letters of a token: each edit brings or takes one letter."""
+    sets, sizes = _SOME if odd else _LONG_SOME
+    m, wild = np.uint64(_letters("".join(letters))), letters.count("")
+    near = sets[np.abs(sizes - len(letters)) <= most]
+    ok = np.bitwise_count(near & ~m) <= most + wild
+    if not odd:
+        ok &= np.bitwise_count(m & ~near) <= most
+    return bool(ok.any())
+
+
+_ORDINARY = {plain(w) for w in X.ORDINARY}
+_PATTERNS = [(points, [_mask(c.split("|")) for c in p.split()]) for points, p in X.PATTERNS]
+_IDIOMS = [(points, [plain(w) for w in p.split()]) for points, p in X.IDIOMS]
+_IDIOM_STARTS = {p[0] for _, p in _IDIOMS}
+_TRIGGER = _mask(X.TRIGGERS)
+_INSULT, _WEAK, _SLUR, _DEHUMAN, _STRONG, _EXPLICIT, _MILD, _PEOPLE, _THEM = (BIT[n] for n in "insult weak slur dehuman strong explicit mild people them".split())
+_YOU, _ADDRESS, _BE, _ARTICLE, _NEUTRAL, _KIND, _VERDICT, _CURSE = (BIT[n] for n in "you address be article neutral kind verdict curse".split())
+#: A work about someone so called isn't said of anyone.
+_ABOUT = {"about", "om", "titled", "called"}
+_ARE = {"are", "er", "ar", "is"}
+_ELSE = {plain(w) for w in "there det these this vi we our my mine vår".split()}
+
+
+class Word(NamedTuple):
+    text: str
+    mask: int
+    #: The word of the lexicon that is written in disguise or with an error, else ''.
+    meant: str
+    meant_mask: int
+    #: Capitalised, and not in capitals throughout.
+    title: bool
+    quote: int
+
+
+def disguised(t: str) -> str:
+    """The word of the lexicon that a token writes with signs, digits, doubled letters or errors; else ''."""
     t = _RUN.sub(r"\1", t)
     if t in _LEXICON:
-        return t, _LEXICON[t], True
+        return t if _LEXICON[t] & _HIDDEN else ""
     odd = any(c in _ANY or c in _LEET for c in t)
-    if (title and not odd) or len(t) < 3 or len(t) > 24 or t in _COMMON or sum(c.isalnum() or c in _ANY or c in _LEET for c in t) < len(t):
-        return None
-    if sum(c.isdigit() for c in t) > len(t) * 0.67:
-        return None
-    letters = ["" if c in _ANY and c != "!" else _LEET.get(c, c) + ("" if c.isalpha() else "") for c in t]
-    letters = ["" if c == "!" else x for c, x in zip(t, letters, strict=True)]
-    wild = sum(not x for x in letters)
-    if wild > len(letters) // 2:
-        return None
-    if len(t) < 4:
-        most = 0
-    elif len(t) < 9:
-        most = 1
-    else:
-        most = 2
-    found = [(d, w, k) for d, w, k in _TRIE.find(letters, most) if d + wild <= max(1, len(w) // 3) and (d == 0 or len(w) >= 4)]
-    if not found:
-        return None
-    d, w, k = min(found)
-    return w, k, d == 0
-
-
-def sentences(text: str) -> Iterator[tuple[list[tuple[str, bool]], bool]]:
-    """Tokens (plain text, written as a capitalised word) of each sentence, and whether it holds a quotation."""
-    text = _SPACED.sub(lambda m: re.sub(r"[ ._*-]", "", m[0]) + " ", _WRAP.sub(" ", unescape(text)))
-    for s in _BOUNDARY.split(text):
-        if s and not s.isspace():
-            tokens = [(plain(x), x.istitle() and x.isalpha()) for x in _TOKEN.findall(s)]
-            if tokens:
-                yield tokens, sum(c in X.QUOTES for c in s) >= 2
-
-
-def _phrase_hits(ws: list[str], near: dict[int, str]) -> int:
-    """Phrases of the lexicon in a sentence, but for those of a verdict; each word may also be written in disguise (near)."""
-    hits = 0
-    for p in _PHRASES:
-        hits += any(_follows(p, i, ws, near) and not _of_verdict(ws, i) for i, w in enumerate(ws) if w in p[0] or near.get(i) in p[0])
-    return hits
-
-
-def _of_verdict(ws: list[str], i: int) -> bool:
-    """Whether the words before i say that someone was punished for what follows."""
-    before = ws[max(0, i - 2 * WINDOW) : i]
-    return "for" in before and any(w in _VERDICT for w in before[: len(before) - before[::-1].index("for")])
+    n = len(t)
+    if n < 3 or (n > 24 and not odd) or t in _ORDINARY or any(not (c.isalnum() or c in _ANY or c in _LEET) for c in t):
+        return ""
+    if sum(c.isdigit() for c in t) > n * 0.67:
+        return ""
+    if not odd:
+        # Two swapped letters inside a word are an error, not another word.
+        for i in range(1, n - 1):
+            if (w := t[:i] + t[i + 1] + t[i] + t[i + 2 :]) in _TERMS:
+                return w
+        if n < LONG - 1:
+            return ""
+    letters = ["" if c in _ANY else _LEET.get(c, c) for c in t]
+    wild = letters.count("")
+    if wild > n // 2:
+        return ""
+    most = 0 if n < 4 else 1 if n < 9 else 2
+    if not _may_be(letters, most, odd):
+        return ""
+    for d, w in sorted((_TRIE if odd else _LONG_TRIE).find(letters, most)):
+        # The same word with another ending is none in disguise.
+        if d + wild <= max(1, len(w) // 3) and (d == 0 or len(w) > 3) and (odd or not (w.startswith(t[:-1]) or t.startswith(w))):
+            return w
+    return ""
+
+
+def _word(token: str, quote: int) -> Word:
+    t = plain(token).strip("'’`´")
+    bare = t.rstrip("!?").replace("'", "").replace("’", "")
+    mask = _LEXICON.get(bare, 0)
+    title = token[:1].isupper() and not (len(token) > 1 and token.isupper()) and token.isalpha()
+    meant = ""
+    if not mask and (any(c.isalpha() for c in bare) or (len(bare) > 3 and any(c in "$@" for c in bare))):
+        meant = disguised(bare)
+    return Word(bare, mask, meant, _LEXICON[meant] if meant else 0, title, quote)
+
+
+#: Reading of a written token: its words, whether a sentence ends with it, whether it needs a look, whether it is one letter.
+Reading = tuple[tuple[Word, ...], bool, bool, bool]
+
+
+def _read(raw: str) -> Reading:
+    s = raw
+    if (m := _SPELLED.fullmatch(s)) is not None:
+        s = s.replace(m[2], "")
+    words = []
+    for part in re.split(f"([{X.QUOTES}])", s):
+        if part in X.QUOTES and part:
+            words.append(Word("", 0, "", 0, False, 1))
+        else:
+            words += [_word(x, 0) for x in _TOKEN.findall(part)]
+    hot = any((w.mask | w.meant_mask) & _TRIGGER or w.text in _IDIOM_STARTS for w in words)
+    letter = len(words) == 1 and len(words[0].text) == 1 and words[0].text.isalpha()
+    return tuple(words), bool(_END.search(raw)), hot, letter
+
+
+_KNOWN: dict[str, Reading] = {}
+
+
+def _reading(raw: str) -> Reading:
+    r = _KNOWN.get(raw)
+    if r is None:
+        if len(_KNOWN) >= REMEMBERED:
+            _KNOWN.clear()
+        r = _KNOWN[raw] = _read(raw)
+    return r
+
+
+def _joined(raws: list[str]) -> list[str]:
+    """Words written letter by letter with spaces as one word."""
+    out, k = [], 0
+    while k < len(raws):
+        j = k
+        while j < len(raws) and len(raws[j]) == 1 and raws[j].isalpha():
+            j += 1
+        if j - k >= 2 and j < len(raws) and len(x := _TOKEN.findall(raws[j])) == 1 and len(x[0]) == 1 and x[0].isalpha():
+            j += 1  # the last letter may be followed by a sign
+        if j - k >= 3:
+            out.append("".join(raws[k:j]))
+        else:
+            j = max(j, k + 1)
+            out += raws[k:j]
+        k = j
+    return out
 
 
-def _damped(ws: list[str], i: int, said: bool) -> float:
-    """What a term at i counts for: words of reports, rules and trades around it halve it, unless it is said of someone."""
-    if said and not _of_verdict(ws, i) and (i + 1 == len(ws) or ws[i + 1] not in _KINDS or _SECOND & set(ws[max(0, i - 4) : i])):
-        return 1.0
-    return 0.5 ** (sum(w in _NEUTRAL for w in ws[max(0, i - WINDOW) : i + WINDOW + 1]) + (i + 1 < len(ws) and ws[i + 1] in _KINDS) + _of_verdict(ws, i))
+def _lines(text: str) -> list[str]:
+    """Lines, single line ends inside a sentence joined."""
+    text = text.replace("\r\n", "\n").replace("\r", "\n")
+    out, before = [], ""
+    for line in text.split("\n"):
+        s = line.strip()
+        if out and before and s and (before[-1].islower() or before[-1] == ",") and s[0].islower():
+            out[-1] += " " + s
+        elif s:
+            out.append(s)
+        before = s
+    return out
 
 
-def _follows(p: list[set[str]], at: int, ws: list[str], near: dict[int, str]) -> bool:
-    for choices in p[1:]:
-        at = next((i for i in range(at + 1, min(len(ws), at + 1 + GAP)) if ws[i] in choices or near.get(i) in choices), -1)
-        if at < 0:
-            return False
-    return True
+def sentences(text: str) -> Iterator[list[Word]]:
+    """Words of the sentences of a text that hold a word to look at, and [] for each stretch of others."""
+    for line in _lines(text) if "\n" in text or "\r" in text else (text,):
+        raws = line.split()
+        read = [_reading(r) for r in raws]
+        if any(a[3] and b[3] and c[3] for a, b, c in zip(read, read[1:], read[2:])) or any(a[3] and b[3] and len(c[0]) == 1 and len(c[0][0].text) == 1 for a, b, c in zip(read, read[1:], read[2:])):
+            read = [_reading(r) for r in _joined(raws)]
+        if not any(r[2] for r in read):
+            yield []
+            continue
+        now: list[Word] = []
+        hot = False
+        for words, end, h, _ in read:
+            now += words
+            hot |= h
+            if end:
+                yield now if hot else []
+                now, hot = [], False
+        if now:
+            yield now if hot else []
+
+
+def _of_verdict(masks: list[int], ws: list[str], i: int) -> bool:
+    """Whether the words before i say that someone was punished for what follows."""
+    lo = max(0, i - 2 * WINDOW)
+    for k in range(i - 1, lo - 1, -1):
+        if ws[k] == "for":
+            return any(m & _VERDICT for m in masks[lo:k])
+    return False
 
 
-_FIRST = {w for p in _PHRASES for w in p[0]}
+def _damped(masks: list[int], ws: list[str], i: int, said: bool) -> float:
+    """What a term at i counts for: words of reports, rules and trades around it halve it, unless it is said of someone."""
+    kind = i + 1 < len(ws) and masks[i + 1] & _KIND
+    report = _of_verdict(masks, ws, i)
+    if said and not report and not (kind and not any(m & _YOU for m in masks[max(0, i - 4) : i])):
+        return 1.0
+    return 0.5 ** (sum(1 for m in masks[max(0, i - WINDOW) : i + WINDOW + 1] if m & _NEUTRAL) + bool(kind) + report)
+
+
+def _matches(steps: list[int], masks: list[int]) -> int:
+    """Place of the first word of a pattern, -1 if it isn't there."""
+    n = len(masks)
+    for i in range(n):
+        if masks[i] & steps[0]:
+            at = i
+            for step in steps[1:]:
+                at = next((k for k in range(at + 1, min(n, at + 2 + GAP)) if masks[k] & step), -1)
+                if at < 0:
+                    break
+            else:
+                return i
+    return -1
 
 
-def sentence_score(tokens: list[tuple[str, bool]], quoted: bool) -> float:
-    """Score of one sentence: phrases, insults said of someone, people called vermin, explicit words together.
+def sentence_score(words: list[Word]) -> float:
+    """Score of one sentence: patterns of classes, insults said of someone, people called vermin, explicit words together.
 
-    Words of reports, rules and trades near a term lower its score, but not that of phrases and of what is said to or of
-    someone; a quotation lowers the score of the sentence.
+    Words of reports, rules and trades near a term lower its score, but not that of patterns and of what is said to or
+    of someone; what stands in a quotation of some words counts a quarter.
     """
-    ws = [t for t, _ in tokens]
-    found = [term(*t) for t in tokens]
-    near = {i: f[0] for i, f in enumerate(found) if f}
-    if not near and not any(w in _FIRST for w in ws):
-        return 0.0
-    score = 1.0 * _phrase_hits(ws, near)
+    quoted, inside, start, ws_, at = set(), False, 0, [], 0
+    for w in words:
+        if w.quote:
+            if inside and at - start >= QUOTATION:
+                quoted.update(range(start, at))
+            inside, start = not inside, at
+        else:
+            ws_.append(w)
+            at += 1
+    ws = [w.text for w in ws_]
+    masks = [w.mask for w in ws_]
+    near: dict[int, str] = {}
+    for i, w in enumerate(ws_):
+        if w.meant:
+            # A capitalised word inside a sentence is a name, unless an article or a curse stands before it.
+            if w.title and i and not (masks[i - 1] & (_ARTICLE | _STRONG | _YOU)):
+                continue
+            masks[i] = w.meant_mask
+            near[i] = w.meant
+    every = reduce(int.__or__, masks, 0)
+    share = lambda i: 0.25 if i in quoted else 1.0
+    score = 0.0
+    if every & _TRIGGER or any(w in _IDIOM_STARTS for w in ws):
+        meant = [near.get(i, w) for i, w in enumerate(ws)]
+        for points, idiom in _IDIOMS:
+            for i, w in enumerate(meant):
+                if w == idiom[0] and meant[i : i + len(idiom)] == idiom and not _of_verdict(masks, ws, i):
+                    score += points * share(i)
+                    break
+        for points, steps in _PATTERNS:
+            if all(s & every for s in steps) and (i := _matches(steps, masks)) >= 0 and not _of_verdict(masks, ws, i):
+                score += points * share(i)
     explicit, mild, terms = 0.0, 0.0, 0
-    for i, f in enumerate(found):
-        if not f:
+    for i, m in enumerate(masks):
+        if not m & (_INSULT | _WEAK | _SLUR | _DEHUMAN | _EXPLICIT):
             continue
-        word, kind, exact = f
-        window = ws[max(0, i - WINDOW) : i]
-        address = any(w in _ADDRESS for w in window)
-        if kind == "insult":
-            article = bool({"a", "an", "en", "et", "you", "din", "ditt"} & set(ws[max(0, i - 3) : i])) or any(near.get(k) and found[k][1] == "strong" for k in range(max(0, i - 2), i))
-            if address and (article or exact and len(word) > 5) and (exact or article or len(word) > 6):
-                score += _damped(ws, i, bool(_SECOND & set(ws[max(0, i - 4) : i])) or bool(_ARTICLE & set(ws[max(0, i - 3) : i]) and _IS & set(ws[max(0, i - 4) : i])))
-        elif kind == "dehuman":
-            direct = ws[max(0, i - 3) : i]
-            if {"are", "er", "ar"} & set(direct) and not {"there", "det", "these", "this", "vi", "we", "our", "my"} & set(window):
-                sure = exact or len(word) > 3 or any(k in near and found[k][1] == "strong" for k in range(max(0, i - 2), i))
-                score += (1.0 if sure else 0.5) * _damped(ws, i, bool(_SECOND & set(direct)))
-        elif kind == "explicit":
+        exact = i not in near
+        word = near.get(i, ws[i])
+        window = masks[max(0, i - WINDOW) : i]
+        close = masks[max(0, i - 3) : i]
+        scorn = any(x & _STRONG for x in masks[max(0, i - 2) : i])
+        if m & (_INSULT | _SLUR) or m & _WEAK and scorn:
+            article = any(x & (_ARTICLE | _YOU) for x in close) or scorn
+            addressed = any(x & _ADDRESS for x in window)
+            said = any(x & _YOU for x in masks[max(0, i - 4) : i]) or any(x & _ARTICLE for x in close) and any(x & _BE for x in masks[max(0, i - 4) : i])
+            if _ABOUT & set(ws[max(0, i - 3) : i]):
+                continue
+            if m & _SLUR and exact:
+                score += 1.0 * share(i) * _damped(masks, ws, i, said)
+            elif (addressed or scorn and (i + 1 == len(ws) or any(x & (_YOU | _THEM | _PEOPLE) for x in masks))) and (article or exact and len(word) > 5) and (exact or article or len(word) > 6):
+                score += share(i) * _damped(masks, ws, i, said)
+        if m & _DEHUMAN and _ARE & set(ws[max(0, i - 3) : i]) and not _ELSE & set(ws[max(0, i - WINDOW) : i]) and not (m & _INSULT and any(x & _ARTICLE for x in close)):
+            sure = exact or len(word) > 3 or scorn
+            score += (1.0 if sure else 0.5) * share(i) * _damped(masks, ws, i, any(x & _YOU for x in close))
+        if m & _EXPLICIT:
             terms += 1
-            if word in _MILD:
-                mild += _damped(ws, i, False)
+            if m & _MILD:
+                mild += share(i) * _damped(masks, ws, i, False)
             else:
-                explicit += _damped(ws, i, False)
-    score += 0.6 * explicit + 0.4 * mild if terms > 1 else 0.5 * explicit
-    if quoted:
-        score *= 0.5
-    return score
+                explicit += share(i) * _damped(masks, ws, i, False)
+    return score + (0.6 * explicit + 0.4 * mild if terms > 1 else 0.5 * explicit)
 
 
 def abuse_score(text: str | None) -> tuple[float, float, int]:
     """(score of the worst sentence or of two neighbours, sum over sentences, sentences at or over the threshold).
 
-    Neighbours add up unless one is quoted or has words of reports, rules or trades.
+    Neighbours add up unless one has a quotation or words of reports, rules or trades.
     """
     if not text:
         return 0.0, 0.0, 0
-    got, worst, before = [], 0.0, 0.0
-    for tokens, quoted in sentences(text):
-        got.append(sentence_score(tokens, quoted))
-        plainly = got[-1] if got[-1] and not quoted and not any(t in _NEUTRAL for t, _ in tokens) else 0.0
-        worst = max(worst, got[-1], before + plainly)
+    total, over, worst, before = 0.0, 0, 0.0, 0.0
+    for words in sentences(unescape(text)):
+        if not words:
+            before = 0.0
+            continue
+        s = sentence_score(words)
+        total += s
+        over += s >= THRESHOLD
+        plainly = s if s and not any(w.quote or w.mask & _NEUTRAL for w in words) else 0.0
+        worst = max(worst, s, before + plainly)
         before = plainly
-    return worst, sum(got), sum(s >= THRESHOLD for s in got)
+    return worst, total, over
 
 
 def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,10 +422,11 @@ def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def scored(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """``id``, ``source``, score, total, sentences of each row; whole texts, no shuffle.
+    """``id``, ``source``, score, total, sentences of each row; one pass over whole texts.
 
     Null, empty and blank texts score 0. A document is to be reviewed if its worst sentence, or two neighbours, reach THRESHOLD.
-    Repeated rows are scored each; null ids stay; columns other than the three aren't read.
+    Repeated rows are scored each; null ids stay; columns other than the three aren't read. A task looks up each
+    written token once: the automaton runs for distinct tokens, and only sentences with a word to look at are scored.
     """
     rows = spread(docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("t"), F.col(source).alias("source")))
     out = rows.mapInArrow(_score, "id long, source string, score double, total double, sentences int")

@@ -247,6 +247,22 @@ def test_neutral_text_is_not(text):
     assert abuse.abuse_score(text)[0] < abuse.THRESHOLD
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "I will stab you tonight.", "Gypsies are thieves and must be gassed.", "Women like her belong in the kitchen, stupid cow.", "You are all worthless garbage and I hope you get run over.", "You are a Mroon.", "You are a MROON.", 'You are a "stupid" "moron".', "I'm going to kill you and your dog.", "Vil du knulle i kveld?",
+        "Alle svarte burde skytes.", "Go back to the country you came from.", "Kvinner hører hjemme på kjøkkenet.",
+    ],
+)
+def test_abuse_in_other_words_is_found(text):
+    assert abuse.abuse_score(text)[0] >= abuse.THRESHOLD
+
+
+@pytest.mark.parametrize("text", ["He met Moran in town.", "I hope you enjoy the new office.", "Kill the process and restart the server.", "The pigs are fed twice a day on the farm.", "Vi skal kjøre dem hjem etter festen.", "The movie is about a whore in Victorian London.", 'The report said that "he is a moron and a bastard", which nobody confirmed.'])
+def test_ordinary_uses_are_not_abuse(text):
+    assert abuse.abuse_score(text)[0] < abuse.THRESHOLD
+
+
 @pytest.mark.parametrize("text", ["Of course you are an idiot.", "Mary is a stupid bitch.", "I will kill you, judge.", "You are an idiot, and the valve is broken.", "The judge is an idiot.", "The court date is late and you are a moron.", "Det betyr at du er en tulling.", "You idiot, file the drawer."])
 def test_neutral_words_do_not_excuse_abuse(text):
     assert abuse.abuse_score(text)[0] >= abuse.THRESHOLD
@@ -268,11 +284,12 @@ def test_reports_and_trades_are_not_abuse(text):
 
 
 def test_automaton_is_damerau_levenshtein():
-    t = abuse.Trie({w: "x" for w in ("moron", "idiot", "rotter")})
-    for word in ("moron", "mornon", "mroon", "morn", "xoron", "m?ron", "abc", "rottre"):
+    terms = ("moron", "idiot", "rotter")
+    t = abuse.Trie(terms)
+    for word in ("moron", "mornon", "mroon", "morn", "xoron", "m?ron", "abc", "rottre", "idiotmoron"):
         letters = ["" if c == "?" else c for c in word]
-        want = sorted((d, w) for w in ("moron", "idiot", "rotter") if (d := names.distance(word.replace("?", w[min(word.find("?"), len(w) - 1)] if "?" in word else ""), w, 2)) <= 2)
-        assert sorted((d, w) for d, w, _ in t.find(letters, 2)) == want
+        want = sorted((d, w) for w in terms if (d := names.distance(word.replace("?", w[min(word.find("?"), len(w) - 1)] if "?" in word else ""), w, 2)) <= 2)
+        assert sorted(t.find(letters, 2)) == want
 
 
 def test_abuse_against_labels(spark, sf_small):
