@@ -165,6 +165,8 @@ class Word(NamedTuple):
 
 def disguised(t: str) -> str:
     """The word of the lexicon that a token writes with signs, digits, doubled letters or errors; else ''."""
+    if (twice := _RUN.sub(r"\1\1", t)) in _TERMS:
+        return twice
     t = _RUN.sub(r"\1", t)
     if t in _LEXICON:
         return t if _LEXICON[t] & _HIDDEN else ""
@@ -175,7 +177,11 @@ def disguised(t: str) -> str:
     if sum(c.isdigit() for c in t) > n * 0.67:
         return ""
     if not odd:
-        # Two swapped letters inside a word are an error, not another word.
+        # The last letter twice, an article run into the word, or two letters swapped inside it are errors, not other words.
+        if n > 4 and t[-1] == t[-2] and t[:-1] in _TERMS:
+            return t[:-1]
+        if n > 5 and t[0] == "a" and t[1:] in _TERMS:
+            return t[1:]
         for i in range(1, n - 1):
             if (w := t[:i] + t[i + 1] + t[i] + t[i + 2 :]) in _TERMS:
                 return w
@@ -381,7 +387,9 @@ def sentence_score(words: list[Word]) -> float:
                 score += 1.0 * share(i) * _damped(masks, ws, i, said)
             elif (addressed or scorn and (i + 1 == len(ws) or any(x & (_YOU | _THEM | _PEOPLE) for x in masks))) and (article or exact and len(word) > 5) and (exact or article or len(word) > 6):
                 score += share(i) * _damped(masks, ws, i, said)
-        if m & _DEHUMAN and _ARE & set(ws[max(0, i - 3) : i]) and not _ELSE & set(ws[max(0, i - WINDOW) : i]) and not (m & _INSULT and any(x & _ARTICLE for x in close)):
+        verb = next((k for k in range(i - 1, max(0, i - 3) - 1, -1) if ws[k] in _ARE), -1)
+        # Animals that are called animals are no people.
+        if m & _DEHUMAN and verb >= 0 and not (verb and masks[verb - 1] & _DEHUMAN and not masks[verb - 1] & _PEOPLE) and not _ELSE & set(ws[max(0, i - WINDOW) : i]) and not (m & _INSULT and any(x & _ARTICLE for x in close)):
             sure = exact or len(word) > 3 or scorn
             score += (1.0 if sure else 0.5) * share(i) * _damped(masks, ws, i, any(x & _YOU for x in close))
         if m & _EXPLICIT:

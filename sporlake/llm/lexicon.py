@@ -59,7 +59,7 @@ brekker brenne kvele kveler knekke knekker voldta voldtar slakte slakter skade s
     "favour": "favour favor tjeneste",
     # what a speaker wants done, and how
     "hope": "hope hopes wish håper ønsker hoppas håpe",
-    "will": "will shall gonna going wanna want wants would ll skal kommer vil ska",
+    "will": "ill will shall gonna going wanna want wants would ll skal kommer vil ska",
     "must": "should must ought deserve deserves need fortjener burde bør må skal borde förtjänar",
     "deserve": "deserve deserves fortjener förtjänar",
     "beating": "beating thrashing whipping hanging juling bank pryl stryk",
@@ -98,9 +98,9 @@ runke runker onani onanere kneppe kneppes sex clips nakne naked escorts deepthro
 """,
     # of these, the ones that need another one beside them
     "mild": "sex clips nakne naked nude fucking xxx porn porno kinky tits slibrige slibrig horny kåte kåt fuck fucked boobs onani onanere orgasm dildo dildos pule puler pupper puppe cock cocks dick anal hardcore escorts strippers cum",
-    "lover": "women wives girls ladies damer jenter husmødre models modeller pornomodeller sluts ludder milfs teens babes kvinner",
+    "lover": "women wives girls ladies damer jenter husmødre models modeller pornomodeller sluts ludder milfs teens escorts babes kvinner",
     "suck": "suck sucks lick licks ride suge suger slikke slikker ri",
-    "spread": "spread spreads open opens spre sprer åpne åpner",
+    "spread": "spread spreads spre sprer",
     "legs": "legs thighs beina bena lårene",
     "show": "show shows flash flashes send sends vise viser sende sender",
     "breasts": "tits boobs pussy ass puppene puppe pupper fitta fitte rumpa rumpe",
@@ -113,7 +113,7 @@ runke runker onani onanere kneppe kneppes sex clips nakne naked escorts deepthro
     "know": "know knows vet",
     "lives": "live lives bor sleep sleeps sover",
     # the speaker turns to someone
-    "address": "you your youre du din ditt dine deg dere is are am was were er var som like such everyone whoever they he she han hun de hver alle all",
+    "address": "you your youre du din ditt dine deg dere is are am was were er var som like such everyone whoever what hva they he she han hun de hver alle all",
     "be": "is are am was were er var ar",
     "article": "a an en et ei",
     # reports, rules, medicine, trades and animal care, where such words mean other things
@@ -136,7 +136,7 @@ ventil aksling sylinder klemme skuff pumpe utryddet kjelleren felle feller gift
 PATTERNS = [
     # wishes of harm, threats, incitement
     (1.0, "hope you|them|people dies|hit"), (1.0, "i will harm you|them|body|people|all"), (1.0, "harm i you|them|body|people|all"), (1.0, "i will drive at you|them|people|all"), (1.0, "i will drive you|them at"), (1.0, "drive i at you|them|people|all"),
-    (1.0, "suicide self"), (1.0, "favour leap|suicide|dies"), (1.0, "leap height weight"), (1.0, "know threatplace you lives"), (0.5, "know threatplace them lives"),
+    (1.0, "favour leap|suicide|dies"), (1.0, "leap height weight"), (1.0, "know threatplace you lives"), (0.5, "know threatplace them lives"),
     (1.0, "you|them|people|dehuman must expel"), (1.0, "you|people|dehuman must chase out"), (0.6, "them must chase out"), (1.0, "you|them|people|all|dehuman must put vessel sinking"), (1.0, "must put you|them|people|all vessel sinking"), (1.0, "you|them|people|dehuman deserve beating|dies"), (0.6, "toss you|them|people|all sea"),
     # rights and worth denied
     (1.0, "no right exist"), (1.0, "you|them|people must no allowed exist"), (1.0, "nobody will|must miss you|them"), (1.0, "nobody miss you"), (1.0, "you error born"), (1.0, "must no born"), (0.6, "you mother shame"), (0.6, "mother you shame"), (0.6, "mother shame"),
@@ -147,6 +147,7 @@ PATTERNS = [
 #: Points of words that stand right beside one another.
 IDIOMS = [
     (0.6, "shut up"), (0.6, "hold kjeft"), (0.6, "get lost"), (0.6, "piss off"), (1.0, "fuck off"), (1.0, "fuck you"), (1.0, "screw you"), (1.0, "faen ta deg"), (1.0, "go to hell"), (1.0, "rot in hell"), (1.0, "burn in hell"), (1.0, "dra til helvete"), (1.0, "til helvete med"),
+    (1.0, "kill yourself"), (1.0, "hang yourself"), (1.0, "drown yourself"), (1.0, "shoot yourself"), (1.0, "heng deg"), (1.0, "drukn deg"), (1.0, "skyt deg"), (1.0, "drep deg"),
     (1.0, "drop dead"), (1.0, "go die"), (1.0, "go and die"), (1.0, "gå og dø"), (1.0, "ta livet av deg"), (1.0, "piece of shit"), (1.0, "pieces of shit"), (1.0, "son of a bitch"), (0.6, "scum of the earth"), (1.0, "full of shit"),
 ]
 #: Classes of which a sentence must have a word to be looked at.
