@@ -14,7 +14,7 @@ LOOKALIKES = str.maketrans(
 _HIDDEN = re.compile("[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff\ufe00-\ufe0f]")
 _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})|\\x([0-9a-fA-F]{2})|\\([nrt])|\\([\"'/\\])")
 _INLINE = re.compile(r"</?(?:b|i|em|strong|span|a|u|s|mark|small|sub|sup|font|wbr|code)(?:\s[^<>]*)?/?>", re.I)
-_TAG = re.compile(r"</?[a-zA-Z!][^<>]{0,2000}>")
+_TAG = re.compile(r"</?[a-zA-Z!][^<>]*>")
 _BREAK = re.compile(r"(?<=[^\W\d_])-[ \t]*(?:\r\n|\r|\n)[>\s]*(?=[^\W\d_])")
 _NOT_ASCII = re.compile(r"[^\x00-\x7f]+")
 _GROUPED = re.compile(r"(?<=\d)[.,’'\s](?=\d{3}(?!\d))")
@@ -60,6 +60,26 @@ def folded(text: str) -> str:
     return text
 
 
+#: Written tokens whose words a task remembers.
+REMEMBERED = 400_000
+_KNOWN: dict[str, tuple[str, ...]] = {}
+
+
+def token_words(raw: str) -> tuple[str, ...]:
+    """Folded words of a token without white space."""
+    w = _KNOWN.get(raw)
+    if w is None:
+        if len(_KNOWN) >= REMEMBERED:
+            _KNOWN.clear()
+        w = _KNOWN[raw] = tuple(_WORD.findall(_DIGRAPH.sub(lambda m: m[0][0], folded(raw))))
+    return w
+
+
+def raw_tokens(text: str) -> list[str]:
+    """Tokens between white space, with markup, escapes and thousands separators gone."""
+    return _GROUPED.sub("", unescape(text)).split()
+
+
 def words(text: str) -> list[str]:
     """Folded words; thousands separators in numbers and the two writings of Nordic letters don't show."""
-    return _WORD.findall(_DIGRAPH.sub(lambda m: m[0][0], _GROUPED.sub("", folded(unescape(text)))))
+    return [w for raw in raw_tokens(text) for w in token_words(raw)]

@@ -224,6 +224,40 @@ def test_weak_copy_does_not_hide_a_passage(spark):
     assert leaked(spark, [other], [(1, alike), (2, other)]) == [(0, 2)]
 
 
+def test_repeated_and_alike_items_are_all_found(spark):
+    w = ITEM.split()
+    equal = [(i, ITEM) for i in range(400)]
+    assert leaked(spark, ["intro " + " ".join(w[5:20]), "nothing"], equal) == [(0, i) for i in range(400)]
+    # templated items: each text leaks its own item, found by pairs that most items have
+    alike = [(i, " ".join(f"{a} {b} {c}{i}" for a, b, c in ("the old hearing", "from the place", "of the creditor", "and a key", "with the clerk", "in the list", "what sum remains"))) for i in range(100)]
+    assert leaked(spark, [alike[k][1] for k in (3, 50, 99)], alike) == [(0, 3), (1, 50), (2, 99)]
+
+
+def test_passage_beside_other_words_of_its_item(spark):
+    w = ITEM.split()
+    run = " ".join(w[4:16])
+    texts = [run, f"{run} a b c d e f {' '.join(w[18:22])}", f"{run} a b c d e f g {' '.join(w[17:24])}", f"{run} {'far ' * 90} {' '.join(w[::2])}"]
+    assert leaked(spark, texts) == [(i, 1) for i in range(4)]
+
+
+def test_without_a_filter_the_join_finds_the_same(spark):
+    w = ITEM.split()
+    d = spark.createDataFrame([(0, " ".join(w[3:17])), (1, "none of it, but which entity bears the loss"), (2, "x " * 50 + ITEM)], "doc_id long, text string")
+    e = spark.createDataFrame([(1, ITEM), (2, "What sum remains outstanding after the creditor from the north demanded his keys again?")], "item_id long, text string")
+    want = rows(leakage.leaked_items(d, e), "doc_id", "item_id")
+    assert want == [(0, 1), (2, 1)]
+    assert rows(leakage.leaked_items(d, e, most=0, sent_words=0), "doc_id", "item_id") == want
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 9), min_size=1, max_size=60))
+def test_seeds_survive_three_edits(counts):
+    keep = set(leakage.rarest(counts))
+    n = leakage.PASSAGE - 1
+    for k in range(max(1, len(counts) - n + 1)):
+        assert len(keep & set(range(k, k + n))) >= min(leakage.SEEDS, len(counts))
+
+
 def test_words():
     assert words.words("<p>BlÃ¥bær&nbsp;1 234 ﬁn</p> un-\nmarked") == words.words("blåbær 1234 fin unmarked")
 
