@@ -104,22 +104,26 @@ def passage(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, int]:
     best, most = (0, 0, 0, 0), _MISSING[0]
     # latest[n - 1, k, j]: stretches of n words that end at the current word of a, k of them missing, found by at[:j + 1].
     latest = np.full((STRETCH, most + 1, len(at)), -1, np.int64)
-    for i, x in enumerate(a):
-        same = np.flatnonzero(b[at] == x)
+    n, k = np.arange(1, STRETCH + 1)[:, None, None], np.arange(most + 1)[None, :, None]
+    may = (n >= PASSAGE) & (k <= np.array(_MISSING[1:])[:, None, None])
+    places = {}
+    for j, x in enumerate(b[at].tolist()):
+        places.setdefault(x, []).append(j)
+    for i, x in enumerate(a.tolist()):
         now = np.full_like(latest, -1)
         now[1:, 1:] = latest[:-1, :-1]
-        if len(same):
+        if x in places:
+            same = np.array(places[x])
             ends = np.full((STRETCH, most + 1, len(same)), -1, np.int64)
             later = same > 0
             ends[1:, :, later] = latest[:-1, :, same[later] - 1]
             ends[0, 0] = at[same]
-            for n in range(PASSAGE, STRETCH + 1):
-                for k in range(_MISSING[n] + 1):
-                    added = at[same] - ends[n - 1, k] + 1 - (n - k)
-                    for j in np.flatnonzero((ends[n - 1, k] >= 0) & (MATCH * (n - k) - max(MISMATCH, GAP) * k - GAP * added >= SCORE)) if (n - k, n) > best[:2] else ():
-                        start, end, found = smith_waterman(a[i + 1 - n : i + 1], b[(lo := int(ends[n - 1, k, j])) : (hi := int(at[same[j]]) + 1)])
-                        if holds(end - start, found):
-                            best = max(best, (found, end - start, lo, hi))
+            score = (MATCH + GAP) * (n - k) - max(MISMATCH, GAP) * k - GAP * (at[same] - ends + 1)
+            for m, g, j in np.argwhere(may & (ends >= 0) & (score >= SCORE) & (n - k >= max(best[0], FOUND))):
+                if (m + 1 - g, m + 1) > best[:2]:
+                    start, end, found = smith_waterman(a[i - m : i + 1], b[(lo := int(ends[m, g, j])) : (hi := int(at[same[j]]) + 1)])
+                    if holds(end - start, found):
+                        best = max(best, (found, end - start, lo, hi))
             hit = np.full_like(latest, -1)
             hit[:, :, same] = ends
             now = np.maximum(now, np.maximum.accumulate(hit, axis=2))
@@ -130,14 +134,17 @@ def passage(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, int]:
 def dense(mask: np.ndarray) -> bool:
     """Whether a stretch of an item can be a passage if only the words in the mask are in the text, in whatever order."""
     c = np.concatenate(([0], np.cumsum(mask)))
-    return any((c[n:] - c[:-n] >= max(FOUND, SHARE * n)).any() for n in range(PASSAGE, min(STRETCH, len(mask)) + 1))
+    # Three quarters of any stretch leave eight of some twelve words in a row.
+    if len(c) <= PASSAGE or (c[PASSAGE:] - c[:-PASSAGE]).max() < 8:
+        return False
+    return any((c[n:] - c[:-n]).max() >= max(FOUND, SHARE * n) for n in range(PASSAGE, min(STRETCH, len(mask)) + 1))
 
 
 def leaks(text: np.ndarray, items: list[tuple[int, np.ndarray]]) -> list[tuple[int, int, int]]:
     """(item, words of the passage, words found) of the items of which the words of a text hold a passage."""
     have, hits = set(text.tolist()), {}
     for i, item in items:
-        if len(have.intersection(item.tolist())) < FOUND - 2 or not dense(np.isin(item, text)):
+        if not dense(np.array([x in have for x in item.tolist()], bool)):
             continue
         best, parts = (0, 0), []
         # A passage spans at most twice the item's words; long texts are aligned in windows that overlap by that.
