@@ -12,6 +12,8 @@ from sporlake.session import cut, parallelism
 
 #: Rows that one bucket is meant to hold (40 bytes each).
 BUCKET_ROWS = 1_000_000
+#: Most differing keys that are sent to every task, so that only their rows are shuffled; with more, all rows meet them in a join.
+SENT_KEYS = 1_000_000
 #: Rows that a map task compacts and packs at once.
 PACK_ROWS = 250_000
 
@@ -113,6 +115,7 @@ def snapshot_changes(
     retrieved_at: str = "retrieved_at",
     canonical=canonical_value,
     bucket_rows: int = BUCKET_ROWS,
+    sent_keys: int = SENT_KEYS,
 ) -> DataFrame:
     """Keys added, removed or changed between consecutive delivered versions.
 
@@ -124,6 +127,7 @@ def snapshot_changes(
     A map task turns its rows into 40-byte rows of hashes and keeps one row a key and version, so a hot key is
     small before the shuffle. Buckets hold about ``bucket_rows`` rows. Hash pairs that differ, and first hashes
     that two keys share, are looked at again with the full keys and values; the result doesn't rest on key hashes.
+    Up to ``sent_keys`` of them are sent to the tasks that read the table again, and only rows of these keys are shuffled.
     """
     spark = df.sparkSession
     rows = df.select(F.col(key).alias("k"), F.col(version).cast("long").alias("version"), F.col(value).alias("v"), F.col(retrieved_at).alias("r")).where("k is not null and version is not null")
@@ -139,7 +143,8 @@ def snapshot_changes(
     candidates = cut(candidates.select("key", "version_from", "version_to"))
     sides = candidates.select("key", "version_from", "version_to", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("version_from").alias("version")), F.struct(F.lit(1).alias("side"), F.col("version_to").alias("version")))).alias("s")).select("key", "version_from", "version_to", "s.side", "s.version")
     full = rows.select(F.xxhash64("k").alias("key"), "version", "k", "v", "r")
-    found = full.join(sides, ["key", "version"]).select("version_from", "version_to", "k", "side", at.alias("at"), canonical(F.col("v")).alias("c"))
+    few = candidates.count() <= sent_keys
+    found = full.join(F.broadcast(sides) if few else sides, ["key", "version"]).select("version_from", "version_to", "k", "side", at.alias("at"), canonical(F.col("v")).alias("c"))
     found = found.select("version_from", "version_to", "k", "side", F.struct("at", F.xxhash64("c").alias("h"), "c").alias("w"))
     exact = found.groupBy("k", "version_from", "version_to").agg(F.max(F.when(F.col("side") == 0, F.col("w"))).alias("a"), F.max(F.when(F.col("side") == 1, F.col("w"))).alias("b"))
     kind = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(F.col("a.c") != F.col("b.c"), "changed")

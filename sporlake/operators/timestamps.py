@@ -18,28 +18,17 @@ STRETCH = 4096
 _NONE = -(2**63)
 
 
-def _readings(fields: list[str]):
-    """One row a value: its readings as an array."""
-
-    def run(batches):
-        for batch in batches:
-            cols = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            ids, sources, at, chain, readings, zone = [], [], [], [], [], []
-            for k, f in enumerate(fields):
-                for i, v in enumerate(cols[f"f{k}"].to_pylist()):
-                    if (x := read(v)) is not None:
-                        at.append(i)
-                        ids.append(k)
-                        chain.append(x[0])
-                        readings.append(x[1])
-                        zone.append(x[2])
-            take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [cols["id"].take(take), pa.array([fields[k] for k in ids], pa.string()), cols["source"].take(take), pa.array(chain, pa.string()), pa.array(readings, pa.list_(pa.int64())), pa.array(zone, pa.string())],
-                ["id", "field", "source", "chain", "readings", "zone"],
-            )
-
-    return run
+#: How a numeric date begins, whose order of day and month may be another; any other value has one reading.
+NUMERIC = r"^[\s\p{Z}\x1C-\x1F\x85]*\p{Nd}{1,2}[./-]\p{Nd}{1,2}[./-]\p{Nd}"
+
+
+def _readings(batches):
+    """The reading of each value that has only one."""
+    for batch in batches:
+        got = [read(v) for v in batch.column(3).to_pylist()]
+        take = pa.array([i for i, x in enumerate(got) if x is not None], pa.int64())
+        got = [x for x in got if x is not None]
+        yield pa.RecordBatch.from_arrays([*[batch.column(k).take(take) for k in range(3)], pa.array([x[1][0] for x in got], pa.int64()), pa.array([x[2] for x in got], pa.string())], ["id", "field", "source", "micros", "zone"])
 
 
 def _step(t0: np.ndarray, t1: np.ndarray) -> np.ndarray:
@@ -92,7 +81,7 @@ def _single(readings: np.ndarray) -> list[np.ndarray]:
 
 
 def _stretches(batches):
-    """Runs of one source's records in their order, as packed arrays with the matrix of each run."""
+    """Reads runs of one source's records in their order, as packed arrays of all readings with the matrix of each run."""
     held, who, seq = [], None, 0
 
     def flush():
@@ -105,12 +94,14 @@ def _stretches(batches):
         return pa.RecordBatch.from_pylist([row], schema=_STRETCH_ARROW)
 
     for batch in batches:
-        for row in batch.to_pylist():
-            now = (row["source"], row["chain"])
+        for source, chain, id_, field, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (x := read(text)) is None:
+                continue
+            now = (source, chain)
             if held and (now != who or len(held) >= STRETCH):
                 yield flush()
             who = now
-            held.append((row["id"], row["field"], [_NONE if x is None else x for x in row["readings"]], row["zone"]))
+            held.append((id_, field, [_NONE if y is None else y for y in x[1]], x[2]))
     if held:
         yield flush()
 
@@ -168,18 +159,20 @@ def unambiguous_times(df: DataFrame, sources: DataFrame, fields: tuple[str, ...]
     task: one a partition of the source.
     """
     spark = df.sparkSession
-    values = df.select(F.col(id).cast("long").alias("id"), F.col(source).alias("source"), *[F.col(f).alias(f"f{k}") for k, f in enumerate(fields)]).where("id is not null")
-    read_ = spread(values).mapInArrow(_readings(list(fields)), "id long, field string, source string, chain string, readings array<long>, zone string")
-    # The two branches read the table twice; the parse is a narrow pass and the bulk of the values needs no choice.
-    plain = read_.where("chain = ''").select("id", "field", "source", F.col("readings")[0].alias("micros"), "zone")
+    wide = df.select(F.col(id).cast("long").alias("id"), F.col(source).alias("source"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields])).alias("v")).where("id is not null")
+    values = wide.select("id", "v.field", F.coalesce("source", F.lit("")).alias("source"), "v.text").where("text is not null")
+    numeric = F.col("text").rlike(NUMERIC)
+    # Each value is read once: numeric dates after they are placed in their source's order, the others where they are.
+    plain = spread(values.where(~numeric)).mapInArrow(_readings, "id long, field string, source string, micros long, zone string")
     n = parallelism(spark)
-    ordered = read_.where("chain != ''").select(F.coalesce("source", F.lit("")).alias("source"), "chain", "id", "field", "readings", "zone").repartitionByRange(n, "source", "chain", "id", "field").sortWithinPartitions("source", "chain", "id", "field")
+    chain = F.regexp_extract("text", r"\p{Nd}([./-])", 1).alias("chain")
+    ordered = values.where(numeric).select("source", chain, "id", "field", "text").repartitionByRange(n, "source", "chain", "id", "field").sortWithinPartitions("source", "chain", "id", "field")
     stretches = cut(ordered.mapInArrow(_stretches, _STRETCH_SQL).withColumn("part", F.spark_partition_id()))
     sums = stretches.select("source", "chain", "part", "seq", "first", "last", "matrix")
     parts = sums.groupBy("source", "chain", "part").applyInPandas(_sum_up, "source string, chain string, part int, first array<long>, last array<long>, matrix array<double>")
     ends = parts.groupBy("source", "chain").applyInPandas(_ends_of_parts, "source string, chain string, part int, enters int, leaves int")
     inner = sums.join(ends, ["source", "chain", "part"]).groupBy("source", "chain", "part").applyInPandas(_ends_of_stretches, "source string, chain string, part int, seq long, enters int, leaves int")
-    chosen = stretches.select("source", "chain", "part", "seq", "ids", "fields", "zones", "readings").join(inner, ["source", "chain", "part", "seq"]).mapInArrow(_only("source", "ids", "fields", "zones", "readings", "enters", "leaves"), "id long, field string, source string, micros long, zone string")
+    chosen = stretches.select("source", "chain", "part", "seq", "ids", "fields", "zones", "readings").join(inner, ["source", "chain", "part", "seq"]).mapInArrow(_unfold, "id long, field string, source string, micros long, zone string")
     all_ = plain.unionByName(chosen).where("micros is not null")
     zones = sources.select(F.col(source_key).alias("source"), F.col(local_zone).alias("local")).where("source is not null").groupBy("source").agg(F.max("local").alias("local"))
     placed = all_.join(zones, "source", "left").select("id", "field", "micros", F.coalesce("zone", "local", F.lit("")).alias("zone"))
@@ -187,6 +180,3 @@ def unambiguous_times(df: DataFrame, sources: DataFrame, fields: tuple[str, ...]
     utc = F.when(F.col("zone") == "", t).otherwise(F.to_utc_timestamp(t, F.when(F.col("zone") == "", "UTC").otherwise(F.col("zone"))))
     return placed.select(F.col("id").alias(id), "field", F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("utc"))
 
-
-def _only(*names: str):
-    return _unfold
