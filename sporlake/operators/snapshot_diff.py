@@ -143,8 +143,10 @@ def snapshot_changes(
     candidates = cut(candidates.select("key", "version_from", "version_to"))
     sides = candidates.select("key", "version_from", "version_to", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("version_from").alias("version")), F.struct(F.lit(1).alias("side"), F.col("version_to").alias("version")))).alias("s")).select("key", "version_from", "version_to", "s.side", "s.version")
     full = rows.select(F.xxhash64("k").alias("key"), "version", "k", "v", "r")
-    few = candidates.count() <= sent_keys
-    found = full.join(F.broadcast(sides) if few else sides, ["key", "version"]).select("version_from", "version_to", "k", "side", at.alias("at"), canonical(F.col("v")).alias("c"))
+    keys = candidates.select("key").distinct()
+    if keys.limit(sent_keys + 1).count() <= sent_keys:
+        full = full.join(F.broadcast(keys), "key", "left_semi")
+    found = full.join(sides, ["key", "version"]).select("version_from", "version_to", "k", "side", at.alias("at"), canonical(F.col("v")).alias("c"))
     found = found.select("version_from", "version_to", "k", "side", F.struct("at", F.xxhash64("c").alias("h"), "c").alias("w"))
     exact = found.groupBy("k", "version_from", "version_to").agg(F.max(F.when(F.col("side") == 0, F.col("w"))).alias("a"), F.max(F.when(F.col("side") == 1, F.col("w"))).alias("b"))
     kind = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(F.col("a.c") != F.col("b.c"), "changed")
