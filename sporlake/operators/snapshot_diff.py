@@ -12,7 +12,7 @@ from sporlake.session import cut, parallelism
 
 #: Rows that one bucket is meant to hold (40 bytes each).
 BUCKET_ROWS = 1_000_000
-#: Most differing keys that are sent to every task, so that only their rows are shuffled; with more, all rows meet them in a join.
+#: Most differing keys of a version (8 bytes each) that are sent to every task, so that only their rows are shuffled; with more, all rows meet them in a join.
 SENT_KEYS = 1_000_000
 #: Rows that a map task compacts and packs at once.
 PACK_ROWS = 250_000
@@ -143,9 +143,9 @@ def snapshot_changes(
     candidates = cut(candidates.select("key", "version_from", "version_to"))
     sides = candidates.select("key", "version_from", "version_to", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("version_from").alias("version")), F.struct(F.lit(1).alias("side"), F.col("version_to").alias("version")))).alias("s")).select("key", "version_from", "version_to", "s.side", "s.version")
     full = rows.select(F.xxhash64("k").alias("key"), "version", "k", "v", "r")
-    keys = candidates.select("key").distinct()
+    keys = sides.select(F.xxhash64("key", "version").alias("kv")).distinct()
     if keys.limit(sent_keys + 1).count() <= sent_keys:
-        full = full.join(F.broadcast(keys), "key", "left_semi")
+        full = full.withColumn("kv", F.xxhash64("key", "version")).join(F.broadcast(keys), "kv", "left_semi")
     found = full.join(sides, ["key", "version"]).select("version_from", "version_to", "k", "side", at.alias("at"), canonical(F.col("v")).alias("c"))
     found = found.select("version_from", "version_to", "k", "side", F.struct("at", F.xxhash64("c").alias("h"), "c").alias("w"))
     exact = found.groupBy("k", "version_from", "version_to").agg(F.max(F.when(F.col("side") == 0, F.col("w"))).alias("a"), F.max(F.when(F.col("side") == 1, F.col("w"))).alias("b"))
