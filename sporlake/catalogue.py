@@ -70,13 +70,13 @@ def screen_companies(spark, sf):
 
 @query
 def screen_plans(spark, sf):
-    """What the language makes of a list of texts; a text with a refused term has no executable plan."""
+    """What the language makes of a list of texts; a text with a refused term has no executable plan. The SQL gives the plans by hand."""
     texts = ["companies in Oslo with more than 10 employees", "profitable companies with revenue over NOK 2 million", "unprofitable companies with accounts", "top 500 by employees", "companies with good glassdoor reviews", "hello"]
     rows = []
     for k, t in enumerate(texts):
         p = parse_screen(t)
-        rows.append((k, p.executable, len(p.criteria), ";".join(f"{c.field} {c.operator} {c.value}" for c in p.criteria), p.order_by, p.limit, ";".join(p.refused)))
-    return spark.createDataFrame(rows, "position int, executable boolean, criteria int, plan string, order_by string, top int, refused string")
+        rows.append((k, p.executable, len(p.criteria), ";".join(f"{c.field} {c.operator} {c.value}" for c in p.criteria), p.order_by, p.limit, p.asked, ";".join(p.modules), ";".join(p.refused)))
+    return spark.createDataFrame(rows, "position int, executable boolean, criteria int, plan string, order_by string, top int, asked int, modules string, refused string")
 
 
 @query

@@ -95,6 +95,9 @@ SELECT c_custkey, c_name, n_name, coalesce(orders, 0) AS orders, revenue FROM cu
 WHERE lower(n_name) = 'nation_7' AND coalesce(orders, 0) >= 2 AND revenue > 50000 ORDER BY revenue DESC NULLS LAST, c_custkey LIMIT 50""",
     "screen_companies": f"""WITH {CO} SELECT organisation_number, name, municipality, employees FROM co WHERE lower(legal_form) = 'as' AND employees >= 2 AND website <> ''
  AND contains(lower(concat_ws(' ', industry_code, industry_label)), 'elektro')""",
+    "screen_plans": """SELECT CAST(a AS INT) AS position, b AS executable, CAST(c AS INT) AS criteria, d AS plan, e AS order_by, CAST(f AS INT) AS top, CAST(g AS INT) AS asked, h AS modules, i AS refused FROM (VALUES
+ (0, true, 2, 'municipality eq OSLO;employees > 10', NULL, NULL, NULL, 'registry', ''), (1, true, 2, 'revenue > 2000000.0;annual_result > 0', NULL, NULL, NULL, 'financials', ''), (2, true, 2, 'annual_result < 0;accounts present True', NULL, NULL, NULL, 'financials', ''),
+ (3, true, 0, '', 'employees', 100, 500, 'registry', ''), (4, false, 0, '', NULL, NULL, NULL, '', 'glassdoor;reviews'), (5, false, 0, '', NULL, NULL, NULL, '', '')) t(a, b, c, d, e, f, g, h, i)""",
     "screen_contains_casefold": "SELECT p_partkey, p_name, p_brand FROM part WHERE contains(lower(p_name), 'widget')",
     "search_companies": f"""WITH {CO}, f AS (SELECT * FROM co WHERE contains(lower(organisation_number), 'regnskap') OR contains(lower(name), 'regnskap') OR contains(lower(municipality), 'regnskap') OR contains(lower(industry_label), 'regnskap'))
 SELECT organisation_number, name, (SELECT count(*) FROM f) AS total FROM f ORDER BY 1 LIMIT 25""",

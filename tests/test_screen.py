@@ -18,6 +18,12 @@ from sporlake.plans.screen import Criterion, compiled, parse_screen, run_screen
         ("employees <= 5", [("employees", "<=", 5)]),
         ("industry contains 'Bakeri'", [("industry", "contains", "bakeri")]),
         ("hello there", []),
+        ("with fewer than 3 registered employees in Nord-Aurdal and revenue < 500", [("municipality", "eq", "NORD-AURDAL"), ("employees", "<", 3), ("revenue", "<", 500.0)]),
+        ("municipality = Ålesund where organisation form is AS", [("municipality", "eq", "ÅLESUND"), ("legal_form", "eq", "AS")]),
+        ("profitable or loss-making", [("annual_result", "<", 0)]),
+        ("nonprofitable undertakings", []),
+        ("companies that have an official website", [("website", "present", True)]),
+        ("above 10 million or so", []),
     ],
 )
 def test_parse(text, criteria):
@@ -28,7 +34,7 @@ def test_refuses():
     p = parse_screen("companies in Oslo with good glassdoor reviews")
     assert p.criteria and not p.executable and set(p.refused) == {"glassdoor", "reviews"}
     assert not parse_screen("without a website").executable
-    assert parse_screen("top 500 by employees").limit == 100 and parse_screen("top 5 by revenue").modules == ["financials"]
+    assert parse_screen("top 500 by employees").limit == 100 and parse_screen("top 500 by employees").asked == 500 and parse_screen("top 5 by revenue").modules == ["financials"]
 
 
 def test_run(spark):
