@@ -31,11 +31,9 @@ def query(f: Query) -> Query:
 
 
 def companies(spark: SparkSession, sf: str) -> DataFrame:
-    """One row a company: the register holds repeated rows whose names differ in case."""
-    return table(spark, sf, "companies").groupBy("organisation_number").agg(
-        F.min("name").alias("name"), F.min("legal_form").alias("legal_form"), F.max("employees").alias("employees"), F.bool_or("bankrupt").alias("bankrupt"), F.bool_or("liquidating").alias("liquidating"), F.min("municipality").alias("municipality"), F.min("municipality_number").alias("municipality_number"),
-        F.min("industry_code").alias("industry_code"), F.min("industry_label").alias("industry_label"), F.max("website").alias("website"), F.max("latest_submitted_accounts").alias("latest_submitted_accounts"),
-    )
+    """One delivered row a company: the register holds repeated rows whose names differ in case, of which the smallest is taken."""
+    cols = ("name", "legal_form", "employees", "bankrupt", "liquidating", "municipality", "municipality_number", "industry_code", "industry_label", "website", "latest_submitted_accounts")
+    return table(spark, sf, "companies").groupBy("organisation_number").agg(F.min(F.struct(*cols)).alias("c")).select("organisation_number", "c.*")
 
 
 def customer_profiles(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries of catalogue_records."""
 
-from sporlake.catalogue_sql import CO, PUBLIC, collapse, folded, host, no_form, rank, share, url_path
+from sporlake.catalogue_sql import CO, PUBLIC, collapse, folded, host, no_form, port, rank, share, url_path
 from sporlake.problems_sql import canonical_sql
 
 ACC = """acc AS (SELECT o_custkey, o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'KONSERN' WHEN 'O' THEN 'SELSKAP' END AS kind, o_orderdate, CASE WHEN o_orderpriority <> '5-LOW' THEN 'nok' END AS cur, o_totalprice AS v, o_orderstatus AS st FROM orders)"""
@@ -20,7 +20,7 @@ def blank(c: str) -> str:
 
 
 def canonical_url(c: str) -> str:
-    return f"'https://' || {host(c)} || regexp_replace({url_path(c)}, '/+$', '') || CASE WHEN contains({c}, '?') THEN '?' || regexp_extract({c}, '\\?([^#]*)', 1) ELSE '' END"
+    return f"'https://' || {host(c)} || {port(c)} || regexp_replace({url_path(c)}, '/+$', '') || CASE WHEN contains({c}, '?') THEN '?' || regexp_extract({c}, '\\?([^#]*)', 1) ELSE '' END"
 
 
 OBS = {

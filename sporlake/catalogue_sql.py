@@ -1,8 +1,7 @@
 """DuckDB SQL for the catalogue."""
 
-CO = """co AS (SELECT organisation_number, min(name) AS name, min(legal_form) AS legal_form, max(employees) AS employees, bool_or(bankrupt) AS bankrupt,
- bool_or(liquidating) AS liquidating, min(municipality) AS municipality, min(municipality_number) AS municipality_number, min(industry_code) AS industry_code,
- min(industry_label) AS industry_label, max(website) AS website, max(latest_submitted_accounts) AS latest_submitted_accounts FROM companies GROUP BY 1)"""
+CO = """co AS (SELECT organisation_number, name, legal_form, employees, bankrupt, liquidating, municipality, municipality_number, industry_code, industry_label, website, latest_submitted_accounts FROM companies
+ QUALIFY row_number() OVER (PARTITION BY organisation_number ORDER BY name NULLS FIRST, legal_form NULLS FIRST, employees NULLS FIRST, bankrupt NULLS FIRST, liquidating NULLS FIRST, municipality NULLS FIRST, municipality_number NULLS FIRST, industry_code NULLS FIRST, industry_label NULLS FIRST, website NULLS FIRST, latest_submitted_accounts NULLS FIRST) = 1)"""
 
 US = "CAST(epoch_us(CAST({} AS TIMESTAMPTZ)) AS BIGINT)"
 
@@ -28,6 +27,13 @@ def url_path(c: str) -> str:
     return f"regexp_extract({w}, '^[^:]+://[^/?#]*([^?#]*)', 1)"
 
 
+def port(c: str) -> str:
+    """':' and the port of an address, '' for the default ones."""
+    w = f"CASE WHEN regexp_matches(trim({c}), '^[a-zA-Z][a-zA-Z0-9+.-]*://') THEN trim({c}) ELSE 'https://' || trim({c}) END"
+    p = rf"regexp_extract({w}, '^[^:]+://(?:[^/@?#]*@)?[^/:?#]+(:\d+)', 1)"
+    return f"CASE WHEN {p} IN (':80', ':443') THEN '' ELSE {p} END"
+
+
 def number(c: str) -> str:
     t = rf"regexp_replace({c}, '[\s\x{{A0}}]', '', 'g')"
     n = rf"CASE WHEN regexp_full_match({t}, '-?\d{{1,3}}(\.\d{{3}})+(,\d+)?') THEN replace(replace({t}, '.', ''), ',', '.') WHEN regexp_full_match({t}, '-?\d{{1,3}}(,\d{{3}})+(\.\d+)?') THEN replace({t}, ',', '') ELSE replace({t}, ',', '.') END"
@@ -80,7 +86,7 @@ CAND = f"""{CO}, cd AS (SELECT result_id, d.organisation_number, url, coalesce(r
   + CASE WHEN list_has_all(tt, nt) THEN 45 WHEN list_has_all(list_concat(tt, st), nt) THEN 25 ELSE 0 END
   + CASE WHEN coalesce(contains(h, nc), false) THEN 30 ELSE 0 END + CASE WHEN list_has_all(st, mt) THEN 10 ELSE 0 END) AS INT) AS score FROM cd)"""
 PUBLIC = rf"""coalesce(regexp_matches(lower(source_url), '^https?://') AND NOT regexp_matches(source_url, '^[^:]+://[^/?#]*@') AND contains({host("source_url")}, '.')
- AND NOT regexp_matches({host("source_url")}, '^(localhost|.*\.local|.*\.internal|0\.|10\.|127\.|169\.254\.|192\.168\.|172\.(1[6-9]|2\d|3[01])\.|\[)') AND length(source_url) <= 2048, false)"""
+ AND NOT regexp_matches({host("source_url")}, '^(localhost|.*\.local|.*\.internal|\[|(0|10|127|22[4-9]|23\d|24\d|25[0-5]|169\.254|192\.168|192\.0\.[02]|198\.1[89]|198\.51\.100|203\.0\.113|172\.(1[6-9]|2\d|3[01])|100\.(6[4-9]|[7-9]\d|1[01]\d|12[0-7]))\.\d[\d.]*$)') AND length(source_url) <= 2048, false)"""
 PRESENT = """unnest([{}]) AS found"""
 
 
@@ -160,9 +166,9 @@ SELECT comparison_id, common, CASE WHEN common = len(t) AND common = len(s) THEN
     "name_match_ladder": f"""WITH d AS (SELECT {collapse("target_name")} AS a, {collapse("coalesce(source_name, '')")} AS b FROM name_comparisons), e AS (SELECT a, b, {folded(no_form("a"))} AS fa, {folded(no_form("b"))} AS fb, {form("a")} AS la, {form("b")} AS lb FROM d)
 SELECT CASE WHEN a = b THEN 'exact' WHEN fb = '' THEN 'empty' WHEN fa = fb AND la IS NOT DISTINCT FROM lb THEN 'normalized' WHEN fa = fb AND (la IS NULL OR lb IS NULL) THEN 'form_omitted' WHEN fa = fb THEN 'form_differs' ELSE 'different' END AS category, count(*) AS n FROM e GROUP BY 1""",
     "domain_suffix_join": f"""WITH {CO} SELECT DISTINCT result_id, d.organisation_number, {host("website")} AS own FROM discovery_results d JOIN co ON co.organisation_number = d.organisation_number WHERE {host("url")} = {host("website")} OR ends_with({host("url")}, '.' || {host("website")})""",
-    "conflict_resolution": r"""WITH d AS (SELECT regexp_replace(organisation_number, '\D', '', 'g') AS org, lower(field_name) AS field, lower(trim(value)) AS value, max(coalesce(source_authority, -1)) AS authority FROM raw_claims WHERE trim(value) <> '' GROUP BY 1, 2, 3),
- r AS (SELECT *, max(authority) OVER (PARTITION BY org, field) AS top, count(*) OVER (PARTITION BY org, field) AS n FROM d WHERE length(org) = 9)
-SELECT org, field, min(value) AS value, CAST(any_value(top) AS INT) AS authority, any_value(n) AS values, CASE WHEN any_value(n) = 1 THEN 'AVAILABLE' WHEN count(*) > 1 THEN 'CONFLICTING' ELSE 'RESOLVED' END AS status FROM r WHERE authority = top GROUP BY 1, 2""",
+    "conflict_resolution": r"""WITH d AS (SELECT regexp_replace(organisation_number, '\D', '', 'g') AS org, lower(field_name) AS field, trim(value) AS original, lower(trim(value)) AS v, coalesce(source_authority, -1) AS a FROM raw_claims WHERE trim(value) <> ''),
+ b AS (SELECT org, field, v, original, a FROM d WHERE length(org) = 9 QUALIFY row_number() OVER (PARTITION BY org, field, v ORDER BY a DESC, original) = 1), r AS (SELECT *, max(a) OVER (PARTITION BY org, field) AS top, count(*) OVER (PARTITION BY org, field) AS n FROM b)
+SELECT org, field, arg_min(original, v) AS value, CAST(any_value(top) AS INT) AS authority, any_value(n) AS values, CASE WHEN any_value(n) = 1 THEN 'AVAILABLE' WHEN count(*) > 1 THEN 'CONFLICTING' ELSE 'RESOLVED' END AS status, CASE WHEN count(*) > 1 THEN arg_max(original, v) END AS other FROM r WHERE a = top GROUP BY 1, 2""",
     "leadership_best_row": f"""SELECT organisation_number, lower({collapse("value")}) AS person, coalesce(source_authority, -1) AS authority, claim_id FROM snapshot_claims WHERE field_name = 'managing_director' AND trim(value) <> '' QUALIFY row_number() OVER (PARTITION BY organisation_number, person ORDER BY authority DESC, claim_id) = 1""",
     "profile_status": """SELECT organisation_number, count(*) AS modules, CASE WHEN bool_and(status = 'available') THEN 'complete' WHEN bool_or(status = 'available') THEN 'partial' WHEN bool_and(status = 'not_found') THEN 'not_found' WHEN bool_or(status IN ('blocked', 'source_error')) THEN 'unavailable' ELSE 'failed' END AS profile_status FROM evidence WHERE organisation_number IS NOT NULL GROUP BY 1""",
     "module_terminal_counts": "SELECT field, status, count(*) AS n, count(DISTINCT organisation_number) AS companies FROM evidence GROUP BY 1, 2",
@@ -215,9 +221,10 @@ SELECT CASE WHEN age IS NULL THEN 'unknown' WHEN age < 0 THEN 'future' WHEN age
     "cache_keys": "SELECT DISTINCT organisation_number, 'cache-' || substr(sha256(organisation_number || '|registry|1'), 1, 24) AS cache_key FROM companies",
     "recommended_tasks": f"""WITH {CO}, t AS (SELECT organisation_number, 'find_website' AS kind, 1 AS priority FROM co WHERE website = '' UNION ALL SELECT organisation_number, 'find_employees', 2 FROM co WHERE employees IS NULL UNION ALL SELECT organisation_number, 'find_accounts', 3 FROM co WHERE coalesce(latest_submitted_accounts, '') = '')
 SELECT *, substr(sha256(organisation_number || '|' || kind), 1, 24) AS task_id FROM t""",
-    "claim_fingerprints": "SELECT version, count(*) AS rows, CAST(sum(CAST(('0x' || substr(sha256(coalesce(claim_key, '~') || '|' || coalesce(value, '~') || '|' || coalesce(retrieved_at, '~')), 1, 12)) AS BIGINT)) AS VARCHAR) AS fingerprint FROM snapshot_claims GROUP BY 1",
+    "claim_fingerprints": """WITH h AS (SELECT version, sha256(coalesce(claim_key, '~') || '|' || coalesce(value, '~') || '|' || coalesce(retrieved_at, '~')) AS h FROM snapshot_claims)
+SELECT version, count(*) AS rows, CAST(sum(CAST(('0x' || substr(h, 1, 15)) AS BIGINT)) AS VARCHAR) || '-' || CAST(sum(CAST(('0x' || substr(h, 16, 15)) AS BIGINT)) AS VARCHAR) AS fingerprint FROM h GROUP BY 1""",
     "url_canonical": rf"""WITH d AS (SELECT DISTINCT organisation_number, website FROM companies WHERE website <> ''), h AS (SELECT *, {host("website")} AS host FROM d)
-SELECT organisation_number, website, 'https://' || host || regexp_replace({url_path("website")}, '/+$', '') AS url, host, CASE WHEN len(string_split(host, '.')) > 1 THEN string_split(host, '.')[-2] ELSE host END AS label FROM h""",
+SELECT organisation_number, website, 'https://' || host || {port("website")} || regexp_replace({url_path("website")}, '/+$', '') AS url, host, CASE WHEN len(string_split(host, '.')) > 1 THEN string_split(host, '.')[-2] ELSE host END AS label FROM h""",
     "url_safety": f"SELECT {PUBLIC} AS public, count(*) AS n FROM evidence GROUP BY 1",
     "org_numbers_in_text": rf"""WITH d AS (SELECT result_id, unnest(regexp_extract_all(coalesce(query, ''), '\b(\d{{9}})\b', 1)) AS org FROM discovery_results) SELECT result_id, org, coalesce(CAST(substr(org, 9, 1) AS INT) = {check("org")}, false) AS valid FROM d""",
     "mail_addresses_in_text": r"""WITH d AS (SELECT lower(unnest(regexp_extract_all(coalesce(text, ''), '([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)', 1))) AS m FROM documents), e AS (SELECT regexp_extract(m, '@(.*)$', 1) AS domain FROM d WHERE regexp_full_match(m, '[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}'))
@@ -240,7 +247,7 @@ SELECT substr(pc, 1, 2) AS region, count(*) AS n, count(DISTINCT lower(city)) AS
     "stream_window_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(12,2))) AS DOUBLE) AS total FROM events GROUP BY 1, 2",
     "stream_budget_state": """WITH s AS (SELECT user_id, CAST(round(value * 100) AS BIGINT) AS c, sum(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS spent FROM events)
 SELECT user_id, count_if(spent <= 50000) AS admitted, count_if(spent > 50000) AS refused, CAST(sum(c) AS BIGINT) AS spent_cents FROM s GROUP BY 1""",
-    "research_candidates": rf"""WITH d AS (SELECT organisation_number, 'https://' || {host("url")} || regexp_replace(regexp_replace({url_path("url")}, '/{{2,}}', '/', 'g'), '/$', '') AS url_key, rank, result_id FROM discovery_results WHERE organisation_number IS NOT NULL AND {host("url")} IS NOT NULL),
+    "research_candidates": rf"""WITH d AS (SELECT organisation_number, 'https://' || {host("url")} || {port("url")} || regexp_replace(regexp_replace({url_path("url")}, '/{{2,}}', '/', 'g'), '/$', '') AS url_key, rank, result_id FROM discovery_results WHERE organisation_number IS NOT NULL AND {host("url")} IS NOT NULL),
  f AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY organisation_number, url_key ORDER BY rank NULLS LAST, result_id) = 1),
  s AS (SELECT *, CAST(round(least(1.0, greatest(0.1, 0.9 - 0.05 * (coalesce(rank, 20) - 1))), 4) AS DOUBLE) AS score FROM f)
 SELECT organisation_number, url_key, rank, score, CAST(row_number() OVER (PARTITION BY organisation_number ORDER BY score DESC, rank NULLS LAST, url_key) AS INT) AS place FROM s""",

@@ -19,6 +19,12 @@ def host(c: Column) -> Column:
     return F.nullif(F.regexp_replace(F.regexp_replace(h, r"^www\.", ""), r"\.$", ""), F.lit(""))
 
 
+def port(c: Column) -> Column:
+    """':' and the port of an address, '' for the default ones."""
+    p = F.regexp_extract(with_scheme(c), r"^[^:]+://(?:[^/@?#]*@)?[^/:?#]+(:\d+)", 1)
+    return F.when(p.isin(":80", ":443"), "").otherwise(p)
+
+
 def path(c: Column) -> Column:
     return F.regexp_extract(with_scheme(c), r"^[^:]+://[^/?#]*([^?#]*)", 1)
 
@@ -30,14 +36,14 @@ def query_text(c: Column) -> Column:
 def canonical_url(c: Column) -> Column:
     """Form for comparison: https, no www, no default port, no slash at the end, no fragment."""
     q = query_text(c)
-    return F.when(host(c).isNotNull(), F.concat(F.lit("https://"), host(c), F.regexp_replace(path(c), r"/+$", ""), F.when(q != "", F.concat(F.lit("?"), q)).otherwise("")))
+    return F.when(host(c).isNotNull(), F.concat(F.lit("https://"), host(c), port(c), F.regexp_replace(path(c), r"/+$", ""), F.when(q != "", F.concat(F.lit("?"), q)).otherwise("")))
 
 
 def research_url(c: Column) -> Column:
     """As canonical_url, with tracking parameters dropped, the others sorted and double slashes made single."""
-    kept = F.array_sort(F.filter(F.split(query_text(c), "&"), lambda p: (p != "") & ~p.rlike(r"^(utm_[a-z]+|fbclid|gclid|mc_cid|mc_eid|ref|source)(=|$)")))
+    kept = F.array_sort(F.filter(F.split(query_text(c), "&"), lambda p: (p != "") & ~p.rlike(r"^(utm_[a-z]+|fbclid|gclid|msclkid|mc_cid|mc_eid|ref|ref_src|source|trk)(=|$)")))
     p = F.regexp_replace(F.regexp_replace(path(c), r"/{2,}", "/"), r"/$", "")
-    return F.when(host(c).isNotNull(), F.concat(F.lit("https://"), host(c), p, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")))
+    return F.when(host(c).isNotNull(), F.concat(F.lit("https://"), host(c), port(c), p, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")))
 
 
 def second_level_label(h: Column) -> Column:
@@ -67,7 +73,7 @@ def redacted(c: Column) -> Column:
 
 
 def is_public(c: Column) -> Column:
-    """Whether an address is http(s), without credentials, with a named public host."""
+    """Whether an address is http(s), without credentials, with a named host or a globally routed IPv4 address."""
     h = host(c)
-    private = h.rlike(r"^(localhost|.*\.local|.*\.internal|0\.|10\.|127\.|169\.254\.|192\.168\.|172\.(1[6-9]|2\d|3[01])\.|\[)")
+    private = h.rlike(r"^(localhost|.*\.local|.*\.internal|\[|(0|10|127|22[4-9]|23\d|24\d|25[0-5]|169\.254|192\.168|192\.0\.[02]|198\.1[89]|198\.51\.100|203\.0\.113|172\.(1[6-9]|2\d|3[01])|100\.(6[4-9]|[7-9]\d|1[01]\d|12[0-7]))\.\d[\d.]*$)")
     return F.coalesce(F.lower(with_scheme(c)).rlike("^https?://") & ~with_scheme(c).rlike("^[^:]+://[^/?#]*@") & h.isNotNull() & h.contains(".") & ~private & (F.length(c) <= 2048), F.lit(False))

@@ -9,17 +9,18 @@ from pyspark.sql import functions as F
 
 
 def resolve_conflicts(df: DataFrame, keys: list[str], value: Column, authority: Column) -> DataFrame:
-    """keys, value, authority, values, status: the value of highest authority, compared without case and blanks.
+    """keys, value, authority, values, status, other: the value of highest authority, as its source wrote it.
 
-    status is AVAILABLE, RESOLVED (several values, one has the highest authority) or CONFLICTING (the highest
-    authority has several; the smallest is given). Rows without a value don't count. Two aggregations, both partial
-    before the shuffle; nothing is collected.
+    Values are the same if they are without case and blanks at the ends. status is AVAILABLE, RESOLVED (several values,
+    one has the highest authority) or CONFLICTING (the highest authority has several; the smallest is given and the
+    largest is ``other``). Of several writings of a value the smallest of its highest authority is given. Rows without
+    a value don't count. Two aggregations, both partial before the shuffle; nothing is collected.
     """
-    v = df.select(*keys, F.lower(F.trim(value)).alias("value"), F.coalesce(authority, F.lit(-1)).alias("authority")).where("value != ''")
-    by_value = v.groupBy(*keys, "value").agg(F.max("authority").alias("authority"))
-    out = by_value.groupBy(*keys).agg(F.count("*").alias("values"), F.max(F.struct("authority", "value")).alias("hi"), F.min(F.struct((-F.col("authority")).alias("na"), "value")).alias("lo"))
+    v = df.select(*keys, F.trim(value).alias("original"), F.coalesce(authority, F.lit(-1)).alias("authority")).where("original != ''").withColumn("value", F.lower("original"))
+    by_value = v.groupBy(*keys, "value").agg(F.max("authority").alias("authority"), F.min(F.struct((-F.col("authority")).alias("na"), "original"))["original"].alias("original"))
+    out = by_value.groupBy(*keys).agg(F.count("*").alias("values"), F.max(F.struct("authority", "value", "original")).alias("hi"), F.min(F.struct((-F.col("authority")).alias("na"), "value", "original")).alias("lo"))
     tie = F.col("hi.value") != F.col("lo.value")
-    return out.select(*keys, F.col("lo.value").alias("value"), F.col("hi.authority").alias("authority"), "values", F.when(F.col("values") == 1, "AVAILABLE").when(tie, "CONFLICTING").otherwise("RESOLVED").alias("status"))
+    return out.select(*keys, F.col("lo.original").alias("value"), F.col("hi.authority").alias("authority"), "values", F.when(F.col("values") == 1, "AVAILABLE").when(tie, "CONFLICTING").otherwise("RESOLVED").alias("status"), F.when(tie, F.col("hi.original")).alias("other"))
 
 
 def profile_status(df: DataFrame, keys: list[str], status: str = "status") -> DataFrame:
@@ -120,10 +121,10 @@ def reasons(**rules: Column) -> Column:
 
 
 def fingerprint(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """keys, rows, fingerprint: an order-free sum of row hashes, so that no group is collected or sorted."""
+    """keys, rows, fingerprint: order-free sums of two 60-bit halves of row hashes, so that no group is collected or sorted."""
     text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns])
-    h = F.conv(F.substring(F.sha2(text, 256), 1, 12), 16, 10).cast("decimal(38,0)")
-    return df.groupBy(*keys).agg(F.count("*").alias("rows"), F.sum(h).cast("decimal(38,0)").cast("string").alias("fingerprint"))
+    part = lambda at: F.sum(F.conv(F.substring(F.sha2(text, 256), at, 15), 16, 10).cast("decimal(38,0)")).cast("decimal(38,0)").cast("string")
+    return df.groupBy(*keys).agg(F.count("*").alias("rows"), F.concat(part(1), F.lit("-"), part(16)).alias("fingerprint"))
 
 
 def all_of(conditions: list[Column]) -> Column:

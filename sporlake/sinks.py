@@ -3,27 +3,33 @@
 from __future__ import annotations
 
 import json
-import os
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sporlake.operators.ranking import latest_per
+
 
 def write_json_lines(df: DataFrame, path: str, single: bool = False) -> None:
     """JSON lines by Spark's commit protocol; a single file only where a reader needs one."""
     (df.coalesce(1) if single else df).write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
-def put(table: str, rows: DataFrame, keys: list[str]) -> None:
-    """Rows of a keyed parquet table replaced by newer ones: a new folder is written, then takes the old one's place."""
+def put(table: str, rows: DataFrame, keys: list[str], order: list[str]) -> None:
+    """Rows of a keyed parquet table replaced by newer ones; of several new rows of a key the greatest by ``order`` counts.
+
+    A new folder is written, then takes the old one's place. Where a run was lost between the two renames the table is in
+    the folder "-old" and is taken back first.
+    """
     spark = rows.sparkSession
     fs = spark._jvm.org.apache.hadoop.fs
-    path = fs.Path(table)
+    path, fresh, old = fs.Path(table), fs.Path(table + "-new"), fs.Path(table + "-old")
     hdfs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    out = rows.dropDuplicates(keys)
+    if not hdfs.exists(path) and hdfs.exists(old):
+        hdfs.rename(old, path)
+    out = latest_per(rows, keys, order).select(*rows.columns)
     if hdfs.exists(path):
         out = spark.read.parquet(table).join(rows.select(*keys).distinct(), keys, "left_anti").unionByName(out)
-    fresh, old = fs.Path(table + "-new"), fs.Path(table + "-old")
     out.write.mode("overwrite").parquet(str(fresh))
     hdfs.delete(old, True)
     if hdfs.exists(path):
@@ -32,16 +38,28 @@ def put(table: str, rows: DataFrame, keys: list[str]) -> None:
     hdfs.delete(old, True)
 
 
+def _write_text(spark: SparkSession, path: str, text: str) -> None:
+    fs = spark._jvm.org.apache.hadoop.fs
+    p = fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    out.write(bytearray(text.encode("utf-8")))
+    out.close()
+
+
+def flattened(df: DataFrame) -> DataFrame:
+    """Fields of structs as columns a_b, arrays and maps as JSON."""
+    while any(t.startswith("struct") for _, t in df.dtypes):
+        df = df.select(*[F.col(f"`{c}`.`{f.name}`").alias(f"{c}_{f.name}") for c, t in df.dtypes if t.startswith("struct") for f in df.schema[c].dataType.fields], *[F.col(f"`{c}`") for c, t in df.dtypes if not t.startswith("struct")])
+    return df.select(*[F.to_json(c).alias(c) if t.startswith(("array", "map")) else F.col(c) for c, t in df.dtypes])
+
+
 def write_reports(records: DataFrame, summary: dict, folder: str) -> dict[str, str]:
-    """Records as JSON lines and flat CSV, the summary as JSON and Markdown."""
+    """Records as JSON lines and flat CSV, the summary as JSON and Markdown, all on the folder's file system."""
+    spark = records.sparkSession
     write_json_lines(records, f"{folder}/records.jsonl")
-    flat = [F.to_json(c).alias(c) if t.startswith(("array", "map", "struct")) else F.col(c) for c, t in records.dtypes]
-    records.select(*flat).write.mode("overwrite").csv(f"{folder}/records.csv", header=True)
-    os.makedirs(folder, exist_ok=True)
-    with open(f"{folder}/summary.json", "w", encoding="utf-8") as f:
-        json.dump(summary, f, sort_keys=True, ensure_ascii=False)
-    with open(f"{folder}/summary.md", "w", encoding="utf-8") as f:
-        f.write("| Measure | Value |\n| --- | --- |\n" + "".join(f"| {k} | {v} |\n" for k, v in sorted(summary.items())))
+    flattened(records).write.mode("overwrite").csv(f"{folder}/records.csv", header=True)
+    _write_text(spark, f"{folder}/summary.json", json.dumps(summary, sort_keys=True, ensure_ascii=False))
+    _write_text(spark, f"{folder}/summary.md", "| Measure | Value |\n| --- | --- |\n" + "".join(f"| {k} | {v} |\n" for k, v in sorted(summary.items())))
     return {k: f"{folder}/{n}" for k, n in (("records", "records.jsonl"), ("csv", "records.csv"), ("summary", "summary.json"), ("markdown", "summary.md"))}
 
 

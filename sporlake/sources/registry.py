@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import gzip
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,11 +33,9 @@ _NUMBERS = {"employees": ["antallAnsatte", "antall ansatte"], "capital_shares":
 _FLAGS = {"bankrupt": ["konkurs"], "liquidating": ["underAvvikling", "under avvikling"], "vat_registered": ["registrertIMvaRegisteret", "registrert i MVA-registeret"], "is_in_group": ["erIKonsern", "er i konsern"]}
 
 
-def sniff_delimiter(path: str) -> str:
-    """The commonest of ';', ',' and tab in the first line, read on the driver from one file."""
-    opener = gzip.open if path.endswith(".gz") else open
-    with opener(path, "rt", encoding="utf-8-sig", errors="replace") as f:
-        line = f.readline(8192)
+def sniff_delimiter(spark: SparkSession, path: str) -> str:
+    """The commonest of ';', ',' and tab in the first line, read by Spark from wherever the dump is."""
+    line = (spark.read.text(path).limit(1).head() or [""])[0]
     return max(";,\t", key=line.count)
 
 
@@ -81,7 +77,7 @@ def normalised(raw: DataFrame) -> DataFrame:
 
 def read_registry(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
     """Rows of nine-character keys. A gzip file can't be split, so what follows it is spread over the cluster."""
-    raw = spark.read.csv(path, header=True, sep=sniff_delimiter(path), quote='"', escape='"', encoding="UTF-8")
+    raw = spark.read.csv(path, header=True, sep=sniff_delimiter(spark, path), quote='"', escape='"', encoding="UTF-8")
     first, *rest = raw.columns
     raw = raw.toDF(first.lstrip("\ufeff"), *rest)
     if path.endswith(".gz"):

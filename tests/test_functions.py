@@ -35,6 +35,9 @@ def test_urls(spark):
     assert one(spark, ["a.b.no"], U.host_suffixes) == [["a.b.no", "b.no"]]
     assert one(spark, ["https://facebook.com/x", "https://facebook.com/", "https://x.no/a"], U.social_platform) == ["facebook", None, None]
     assert one(spark, ["http://10.0.0.1/", "https://a.no", "ftp://a.no", "https://u@a.no", "https://localhost/"], U.is_public) == [False, True, False, False, False]
+    assert one(spark, ["http://100.64.1.1/", "http://192.0.2.7", "http://198.18.0.1/", "http://8.8.8.8/", "https://10.no/", "http://240.0.0.1/"], U.is_public) == [False, False, False, True, True, False]
+    assert one(spark, ["https://a.no:8443/x", "https://a.no:443/x", "http://a.no:80/x"], U.canonical_url) == ["https://a.no:8443/x", "https://a.no/x", "https://a.no/x"]
+    assert one(spark, ["https://a.no/x?msclkid=1&b=2&trk=3"], U.research_url) == ["https://a.no/x?b=2"]
     assert one(spark, ["https://u:p@h.no/?token=abc&x=1"], U.redacted) == ["https://***@h.no/?token=***&x=1"]
 
 
@@ -102,8 +105,10 @@ def test_compare(spark):
 
 def test_conflicts_and_rules(spark):
     d = spark.createDataFrame([("o", "A", 1), ("o", "a ", 5), ("o", "b", 5), ("p", "x", 1), ("q", "x", 1), ("q", "y", 2), ("r", " ", 9)], "k string, v string, a int")
-    got = {r.k: (r.value, r.status) for r in A.resolve_conflicts(d, ["k"], F.col("v"), F.col("a")).collect()}
-    assert got == {"o": ("a", "CONFLICTING"), "p": ("x", "AVAILABLE"), "q": ("y", "RESOLVED")}
+    got = {r.k: (r.value, r.status, r.other) for r in A.resolve_conflicts(d, ["k"], F.col("v"), F.col("a")).collect()}
+    assert got == {"o": ("a", "CONFLICTING", "b"), "p": ("x", "AVAILABLE", None), "q": ("y", "RESOLVED", None)}
+    kept = spark.createDataFrame([("o", " Oslo AS ", 5), ("o", "OSLO AS", 1)], "k string, v string, a int")
+    assert [(r.value, r.status) for r in A.resolve_conflicts(kept, ["k"], F.col("v"), F.col("a")).collect()] == [("Oslo AS", "AVAILABLE")]
     v = spark.createDataFrame([("g", float(i)) for i in (1, 2, 3, 4)], "k string, v double")
     q = A.quantiles(v, ["k"], "v").head()
     assert (q.median, q.p50, q.p95) == (2.5, 2.0, 4.0)

@@ -88,9 +88,14 @@ def test_pages(spark):
 def test_sinks(spark, tmp_path):
     t = str(tmp_path / "t")
     d = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
-    sinks.put(t, d, ["k"])
-    sinks.put(t, spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string"), ["k"])
+    sinks.put(t, d, ["k"], ["v"])
+    sinks.put(t, spark.createDataFrame([(2, "c"), (3, "d"), (2, "b")], "k int, v string"), ["k"], ["v"])
     assert {tuple(r) for r in spark.read.parquet(t).collect()} == {(1, "a"), (2, "c"), (3, "d")}
+    (tmp_path / "t").rename(tmp_path / "t-old")  # as if a run was lost between the renames
+    sinks.put(t, d.limit(0), ["k"], ["v"])
+    assert spark.read.parquet(t).count() == 3
+    nested = spark.createDataFrame([((1, (2, [3])),)], "a struct<b: int, c: struct<d: int, e: array<int>>>")
+    assert sorted(sinks.flattened(nested).columns) == ["a_b", "a_c_d", "a_c_e"]
     paths = sinks.write_reports(d, {"n": 2}, str(tmp_path / "rep"))
     assert json.load(open(paths["summary"])) == {"n": 2} and spark.read.json(paths["records"]).count() == 2
     assert sinks.manifest(spark, paths["summary"]).head().bytes > 0
