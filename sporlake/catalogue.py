@@ -12,7 +12,7 @@ from sporlake.functions import keys as K
 from sporlake.functions import numbers as N
 from sporlake.functions import text as X
 from sporlake.functions import urls as U
-from sporlake.functions.canonical import flexible_day, instant
+from sporlake.functions.canonical import canonical_value, flexible_day, instant
 from sporlake.operators import compare as C
 from sporlake.operators import ranking as R
 from sporlake.operators import rollups as A
@@ -133,26 +133,45 @@ def stable_claim_keys(spark, sf):
 # ---- changes between snapshots
 
 
-def _version(spark, sf, v: int) -> DataFrame:
-    d = table(spark, sf, "snapshot_claims").where(F.col("version") == v).select("claim_key", "source_module", "field_name", "value", instant(F.col("retrieved_at")).alias("at"), "claim_id")
-    return R.latest_per(d, ["claim_key"], ["at", "claim_id"])
+def delivered(spark, sf) -> DataFrame:
+    """The last retrieved row of each claim key and delivery."""
+    d = table(spark, sf, "snapshot_claims").select("claim_key", "version", "source_module", "field_name", "reporting_period", "organisation_number", "value", instant(F.col("retrieved_at")).alias("at"), "claim_id")
+    return R.latest_per(d, ["claim_key", "version"], ["at", "claim_id"])
+
+
+def _steps(d: DataFrame) -> DataFrame:
+    """version_from, version_to: consecutive deliveries (a row a delivery)."""
+    v = d.select("version").distinct()
+    return v.select(F.col("version").alias("version_from"), F.lead("version").over(Window.orderBy("version")).alias("version_to")).where("version_to is not null")
+
+
+def delivery_changes(spark, sf, semantic: bool = False) -> DataFrame:
+    """Changes of every step as rows of (version_from, version_to, claim_key): the key says which delivery comes next."""
+    d = delivered(spark, sf).withColumn("value", canonical_value(F.col("value")) if semantic else F.col("value"))
+    s = F.broadcast(_steps(d))
+    keys = ["version_from", "version_to", "claim_key"]
+    before = d.join(s, F.col("version") == F.col("version_from")).select(*keys, "field_name", "value")
+    after = d.join(s, F.col("version") == F.col("version_to")).select(*keys, "field_name", "value")
+    return C.keyed_changes(before, after, keys, "value")
 
 
 @query
 def snapshot_diff_claims(spark, sf):
-    """Exact text comparison of two deliveries; identical values are no change."""
-    return C.keyed_changes(_version(spark, sf, 3), _version(spark, sf, 4), ["claim_key"], "value").where("kind != 'UNCHANGED'")
+    """Exact text comparison of every two consecutive deliveries; identical values are no change."""
+    return delivery_changes(spark, sf).where("kind != 'UNCHANGED'")
 
 
 @query
 def snapshot_diff_summary(spark, sf):
-    d = C.keyed_changes(_version(spark, sf, 1), _version(spark, sf, 7), ["claim_key"], "value")
-    return d.select(F.regexp_extract("claim_key", r"\|field:([^|]*)", 1).alias("field"), "kind").groupBy("field").agg(*[F.count_if(F.col("kind") == k).alias(k.lower()) for k in ("ADDED", "REMOVED", "MODIFIED", "UNCHANGED")])
+    d = delivery_changes(spark, sf)
+    field = F.regexp_extract("claim_key", r"\|field:([^|]*)", 1).alias("field")
+    return d.select("version_from", "version_to", field, "kind").groupBy("version_from", "version_to", "field").agg(*[F.count_if(F.col("kind") == k).alias(k.lower()) for k in ("ADDED", "REMOVED", "MODIFIED", "UNCHANGED")])
 
 
 @query
 def snapshot_membership(spark, sf):
-    return C.membership(_version(spark, sf, 1), _version(spark, sf, 7), "claim_key")
+    n = lambda *kinds: F.count_if(F.col("kind").isin(*kinds))
+    return delivery_changes(spark, sf).groupBy("version_from", "version_to").agg(n("REMOVED").alias("only_before"), n("ADDED").alias("only_after"), n("MODIFIED", "UNCHANGED").alias("in_both"))
 
 
 @query
@@ -169,9 +188,12 @@ def key_set_operations(spark, sf):
 
 @query
 def failclosed_merge(spark, sf):
-    prev, new = _version(spark, sf, 3), _version(spark, sf, 4)
+    """Each delivery with the rows of the one before for modules that failed."""
+    d = delivered(spark, sf).select("claim_key", "version", "source_module", "value")
+    s = F.broadcast(_steps(d))
+    prev, new = (d.join(s, F.col("version") == F.col(c)).select("version_to", "claim_key", "source_module", "value") for c in ("version_from", "version_to"))
     failed = spark.createDataFrame([("financials",), ("roles",)], "source_module string")
-    return C.fail_closed_merge(prev, new, failed, "claim_key", "source_module").select("claim_key", "source_module", "value", "origin")
+    return C.fail_closed_merge(prev, new, failed, ["version_to", "claim_key"], "source_module").select("version_to", "claim_key", "source_module", "value", "origin")
 
 
 @query
@@ -187,37 +209,40 @@ def field_changes_by_year(spark, sf):
 
 @query
 def workforce_materiality(spark, sf):
-    emp = lambda v: _version(spark, sf, v).where("field_name = 'employees'").select("claim_key", N.number(F.col("value")).alias("x"))
-    j = emp(1).withColumnRenamed("x", "before").join(emp(7).withColumnRenamed("x", "after"), "claim_key")
+    d = delivery_changes(spark, sf).where("kind in ('MODIFIED', 'UNCHANGED')").where(F.col("claim_key").rlike(r"\|field:employees(\||$)"))
+    j = d.select("version_from", "version_to", "claim_key", N.number(F.col("before")).alias("before"), N.number(F.col("after")).alias("after"))
     m = C.materiality(F.col("before"), F.col("after"))
-    return j.select("claim_key", "before", "after", *[c.alias(n) for n, c in m.items()])
+    return j.select("version_from", "version_to", "claim_key", "before", "after", *[c.alias(n) for n, c in m.items()])
 
 
 @query
 def period_restatement(spark, sf):
-    """Reported amounts by period: new periods, and restatements of old ones."""
-    d = table(spark, sf, "snapshot_claims").where("field_name in ('revenue', 'total_assets') and reporting_period is not null").select("organisation_number", "field_name", "reporting_period", "version", "claim_id", N.amount(F.col("value"))["value"].alias("amount"))
-    of = lambda v: R.latest_per(d.where(F.col("version") == v).drop("version"), ["organisation_number", "field_name", "reporting_period"], ["claim_id"])
-    a, b = of(1), of(7)
+    """Reported amounts by period in consecutive deliveries: new periods, and restatements of old ones."""
+    d = table(spark, sf, "snapshot_claims").where("field_name in ('revenue', 'total_assets') and reporting_period is not null").select("version", "organisation_number", "field_name", "reporting_period", "claim_id", N.amount(F.col("value"))["value"].alias("amount"))
     keys = ["organisation_number", "field_name", "reporting_period"]
-    j = C.keyed_changes(a, b, keys, "amount").where("kind != 'UNCHANGED'")
-    return j.select(*keys, F.col("before"), F.col("after"), F.when(F.col("kind") == "ADDED", "NEW_PERIOD").when(F.col("kind") == "REMOVED", "PERIOD_GONE").otherwise("RESTATED").alias("change"))
+    d = R.latest_per(d, ["version", *keys], ["claim_id"])
+    s = F.broadcast(_steps(table(spark, sf, "snapshot_claims").select("version")))
+    a, b = (d.join(s, F.col("version") == F.col(c)).select("version_from", "version_to", *keys, "amount") for c in ("version_from", "version_to"))
+    j = C.keyed_changes(a, b, ["version_from", "version_to", *keys], "amount").where("kind != 'UNCHANGED'")
+    return j.select("version_from", "version_to", *keys, F.col("before"), F.col("after"), F.when(F.col("kind") == "ADDED", "NEW_PERIOD").when(F.col("kind") == "REMOVED", "PERIOD_GONE").otherwise("RESTATED").alias("change"))
+
+
+def _tidy(c):
+    return F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[\s\u00A0]", "")
 
 
 @query
 def change_set_scores(spark, sf):
     """Changes of the exact comparison against those that also differ without case and blanks."""
-    d = C.keyed_changes(_version(spark, sf, 3), _version(spark, sf, 4), ["claim_key"], "value").where("kind = 'MODIFIED'")
-    tidy = lambda c: F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[\s\u00A0]", "")
-    return C.set_scores(d.where(tidy(F.col("before")) != tidy(F.col("after"))), d, ["claim_key"])
+    d = delivery_changes(spark, sf).where("kind = 'MODIFIED'")
+    return C.set_scores(d.where(_tidy(F.col("before")) != _tidy(F.col("after"))), d, ["version_from", "version_to", "claim_key"])
 
 
 @query
 def false_change_rate(spark, sf):
     """Share of changed texts by field that are only another writing."""
-    d = C.keyed_changes(_version(spark, sf, 3), _version(spark, sf, 4), ["claim_key"], "value").where("kind = 'MODIFIED'")
-    tidy = lambda c: F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[\s\u00A0]", "")
-    d = d.select(F.regexp_extract("claim_key", r"\|field:([^|]*)", 1).alias("field"), (tidy(F.col("before")) == tidy(F.col("after"))).alias("same"))
+    d = delivery_changes(spark, sf).where("kind = 'MODIFIED'")
+    d = d.select(F.regexp_extract("claim_key", r"\|field:([^|]*)", 1).alias("field"), (_tidy(F.col("before")) == _tidy(F.col("after"))).alias("same"))
     return d.groupBy("field").agg(F.count("*").alias("changes"), F.count_if("same").alias("false_changes"), F.round(F.avg(F.col("same").cast("double")), 6).alias("rate"))
 
 

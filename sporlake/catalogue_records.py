@@ -10,12 +10,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sporlake.catalogue import company_fields, companies
+from sporlake.catalogue import companies, company_fields, delivered, delivery_changes
 from sporlake.functions import registry_json as J
 from sporlake.functions import text as X
 from sporlake.functions import urls as U
 from sporlake.functions.canonical import canonical_value, instant
-from sporlake.operators import compare as C
 from sporlake.operators import ranking as R
 from sporlake.operators import rollups as A
 from sporlake.operators import validate as V
@@ -143,66 +142,31 @@ def manifest_count_differences(spark, sf):
 # ---- deliveries, each two consecutive ones
 
 
-def _delivered(spark, sf) -> DataFrame:
-    """The last retrieved row of each claim key and delivery."""
-    d = table(spark, sf, "snapshot_claims").select("claim_key", "version", "source_module", "field_name", "value", instant(F.col("retrieved_at")).alias("at"), "claim_id")
-    return R.latest_per(d, ["claim_key", "version"], ["at", "claim_id"])
-
-
-def _steps(d: DataFrame) -> DataFrame:
-    """version_from, version_to: consecutive deliveries (a row a delivery)."""
-    v = d.select("version").distinct()
-    return v.select(F.col("version").alias("version_from"), F.lead("version").over(Window.orderBy("version")).alias("version_to")).where("version_to is not null")
-
-
-def _changes(spark, sf, semantic: bool = False) -> DataFrame:
-    """Changes of every step as rows of (version_from, version_to, claim_key): the key says which delivery comes next."""
-    d = _delivered(spark, sf).withColumn("value", canonical_value(F.col("value")) if semantic else F.col("value"))
-    s = F.broadcast(_steps(d))
-    keys = ["version_from", "version_to", "claim_key"]
-    before = d.join(s, F.col("version") == F.col("version_from")).select(*keys, "field_name", "value")
-    after = d.join(s, F.col("version") == F.col("version_to")).select(*keys, "field_name", "value")
-    return C.keyed_changes(before, after, keys, "value")
-
-
-@query
-def delivery_changes(spark, sf):
-    """Exact text comparison of every two consecutive deliveries."""
-    return _changes(spark, sf).where("kind != 'UNCHANGED'")
-
-
 @query
 def delivery_change_counts(spark, sf):
     """Changes by step, field and kind, where other writings of a value are no change."""
-    d = _changes(spark, sf, True).select("version_from", "version_to", F.regexp_extract("claim_key", r"\|field:([^|]*)", 1).alias("field"), "kind")
+    d = delivery_changes(spark, sf, True).select("version_from", "version_to", F.regexp_extract("claim_key", r"\|field:([^|]*)", 1).alias("field"), "kind")
     return d.groupBy("version_from", "version_to", "field").agg(*[F.count_if(F.col("kind") == k).alias(k.lower()) for k in ("ADDED", "REMOVED", "MODIFIED", "UNCHANGED")])
 
 
-@query
-def delivery_membership(spark, sf):
-    d = _changes(spark, sf)
-    n = lambda *kinds: F.count_if(F.col("kind").isin(*kinds))
-    return d.groupBy("version_from", "version_to").agg(n("REMOVED").alias("only_before"), n("ADDED").alias("only_after"), n("MODIFIED", "UNCHANGED").alias("in_both"))
-
-
 @query
 def delivery_false_change_rate(spark, sf):
     """Share of changed texts by step that are only another writing."""
-    d = _changes(spark, sf).where("kind = 'MODIFIED'").select("version_from", "version_to", (canonical_value(F.col("before")) == canonical_value(F.col("after"))).alias("same"))
+    d = delivery_changes(spark, sf).where("kind = 'MODIFIED'").select("version_from", "version_to", (canonical_value(F.col("before")) == canonical_value(F.col("after"))).alias("same"))
     return d.groupBy("version_from", "version_to").agg(F.count("*").alias("changes"), F.count_if("same").alias("false_changes"), F.round(F.avg(F.col("same").cast("double")), 6).alias("rate"))
 
 
 @query
 def claim_versions(spark, sf):
     """All versions of a claim key in order, with the number of its deliveries before."""
-    d = _delivered(spark, sf)
+    d = delivered(spark, sf)
     return d.select("claim_key", "version", "value", (F.row_number().over(Window.partitionBy("claim_key").orderBy("version")) - 1).alias("place"))
 
 
 @query
 def website_changes(spark, sf):
     """Websites that move between deliveries: to another host, to another page, or only in writing."""
-    d = _changes(spark, sf).where("kind = 'MODIFIED'").where(F.contains("claim_key", F.lit("|field:website")))
+    d = delivery_changes(spark, sf).where("kind = 'MODIFIED'").where(F.contains("claim_key", F.lit("|field:website")))
     a, b = F.col("before"), F.col("after")
     kind = F.when(U.host(a).isNull() | U.host(b).isNull(), "appeared_or_gone").when(U.host(a) != U.host(b), "host_changed").when(U.canonical_url(a) != U.canonical_url(b), "page_changed").otherwise("same_address")
     return d.groupBy("version_from", "version_to", kind.alias("change")).agg(F.count("*").alias("n"))

@@ -1,15 +1,9 @@
 """DuckDB SQL for the queries of catalogue_records."""
 
-from sporlake.catalogue_sql import CO, PUBLIC, collapse, folded, host, no_form, port, rank, share, url_path
+from sporlake.catalogue_sql import CO, LAST, PUBLIC, collapse, folded, host, no_form, port, rank, share, url_path
 from sporlake.problems_sql import canonical_sql
 
 ACC = """acc AS (SELECT o_custkey, o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'KONSERN' WHEN 'O' THEN 'SELSKAP' END AS kind, o_orderdate, CASE WHEN o_orderpriority <> '5-LOW' THEN 'nok' END AS cur, o_totalprice AS v, o_orderstatus AS st FROM orders)"""
-LAST = """last AS (SELECT claim_key, version, field_name, value, claim_id FROM snapshot_claims QUALIFY row_number() OVER (PARTITION BY claim_key, version ORDER BY CAST(retrieved_at AS TIMESTAMPTZ) DESC NULLS LAST, claim_id DESC) = 1),
- step AS (SELECT version AS f, lead(version) OVER (ORDER BY version) AS t FROM (SELECT DISTINCT version FROM snapshot_claims)),
- p AS (SELECT f, t, claim_key, value, claim_id FROM last JOIN step ON version = f WHERE t IS NOT NULL), q AS (SELECT f, t, claim_key, value, claim_id FROM last JOIN step ON version = t),
- ch AS (SELECT f AS version_from, t AS version_to, claim_key, p.value AS before, q.value AS after, CASE WHEN p.claim_id IS NULL THEN 'ADDED' WHEN q.claim_id IS NULL THEN 'REMOVED' WHEN p.value IS NOT DISTINCT FROM q.value THEN 'UNCHANGED' ELSE 'MODIFIED' END AS kind FROM p FULL JOIN q USING (f, t, claim_key))"""
-
-
 def canon(table: str, column: str, out: str) -> str:
     """Layers that add column ``out``, the canonical text of a column of a table, in relation ``c_out``."""
     return canonical_sql(column).replace("FROM src", f"FROM {table}").replace("s1", f"{out}1").replace("s2", f"{out}2").replace("s3", f"{out}3").replace("canon AS", f"c_{out} AS").replace("ELSE s END AS c FROM", f"ELSE s END AS {out} FROM")
@@ -77,11 +71,9 @@ SELECT claim_id, {names_of(CLAIM)} AS reasons FROM d""",
 SELECT *, rows = expected AS exact_count, true AS unique_keys, not_terminal = 0 AS all_terminal, dropped = 0 AS no_silent_drops, unasked = 0 AS same_members, rows = expected AND not_terminal = 0 AND dropped = 0 AND unasked = 0 AS passed FROM c""",
     "manifest_count_differences": """WITH a AS (SELECT source_type, field, count(*) AS declared FROM (SELECT DISTINCT source_type, field, organisation_number, source_url, retrieved_at FROM evidence) GROUP BY 1, 2), b AS (SELECT source_type, field, count(*) AS observed FROM evidence GROUP BY 1, 2)
 SELECT source_type, field, declared, observed FROM a FULL JOIN b USING (source_type, field) WHERE declared IS DISTINCT FROM observed""",
-    "delivery_changes": f"WITH {LAST} SELECT * FROM ch WHERE kind <> 'UNCHANGED'",
     "delivery_change_counts": rf"""WITH {LAST}, {canon("ch", "before", "cb")}, b2 AS (SELECT version_from, version_to, claim_key, kind, after, cb FROM c_cb), {canon("b2", "after", "ca")},
  k AS (SELECT version_from, version_to, regexp_extract(claim_key, '\|field:([^|]*)', 1) AS field, CASE WHEN kind IN ('ADDED', 'REMOVED') THEN kind WHEN cb = ca THEN 'UNCHANGED' ELSE 'MODIFIED' END AS kind FROM c_ca)
 SELECT version_from, version_to, field, count_if(kind = 'ADDED') AS added, count_if(kind = 'REMOVED') AS removed, count_if(kind = 'MODIFIED') AS modified, count_if(kind = 'UNCHANGED') AS unchanged FROM k GROUP BY 1, 2, 3""",
-    "delivery_membership": f"WITH {LAST} SELECT version_from, version_to, count_if(kind = 'REMOVED') AS only_before, count_if(kind = 'ADDED') AS only_after, count_if(kind IN ('MODIFIED', 'UNCHANGED')) AS in_both FROM ch GROUP BY 1, 2",
     "delivery_false_change_rate": f"""WITH {LAST}, m AS (SELECT * FROM ch WHERE kind = 'MODIFIED'), {canon("m", "before", "cb")}, b2 AS (SELECT version_from, version_to, after, cb FROM c_cb), {canon("b2", "after", "ca")}
 SELECT version_from, version_to, count(*) AS changes, count_if(cb = ca) AS false_changes, round({share("(cb = ca)")}, 6) AS rate FROM c_ca GROUP BY 1, 2""",
     "claim_versions": f"WITH {LAST} SELECT claim_key, version, value, CAST(row_number() OVER (PARTITION BY claim_key ORDER BY version) - 1 AS INT) AS place FROM last",

@@ -6,15 +6,10 @@ CO = """co AS (SELECT organisation_number, name, legal_form, employees, bankrupt
 US = "CAST(epoch_us(CAST({} AS TIMESTAMPTZ)) AS BIGINT)"
 
 
-def version(name: str, v: int) -> str:
-    return f"""{name} AS (SELECT claim_key, source_module, field_name, value, claim_id FROM snapshot_claims WHERE version = {v}
- QUALIFY row_number() OVER (PARTITION BY claim_key ORDER BY CAST(retrieved_at AS TIMESTAMPTZ) DESC NULLS LAST, claim_id DESC) = 1)"""
-
-
-def changes(a: int, b: int) -> str:
-    return f"""{version("a", a)}, {version("b", b)},
- ch AS (SELECT claim_key, a.value AS before, b.value AS after, CASE WHEN a.claim_id IS NULL THEN 'ADDED' WHEN b.claim_id IS NULL THEN 'REMOVED'
-   WHEN a.value IS NOT DISTINCT FROM b.value THEN 'UNCHANGED' ELSE 'MODIFIED' END AS kind FROM a FULL JOIN b USING (claim_key))"""
+LAST = """last AS (SELECT claim_key, version, field_name, source_module, value, claim_id FROM snapshot_claims QUALIFY row_number() OVER (PARTITION BY claim_key, version ORDER BY CAST(retrieved_at AS TIMESTAMPTZ) DESC NULLS LAST, claim_id DESC) = 1),
+ step AS (SELECT version AS f, lead(version) OVER (ORDER BY version) AS t FROM (SELECT DISTINCT version FROM snapshot_claims)),
+ p AS (SELECT f, t, claim_key, value, claim_id FROM last JOIN step ON version = f WHERE t IS NOT NULL), q AS (SELECT f, t, claim_key, value, claim_id FROM last JOIN step ON version = t),
+ ch AS (SELECT f AS version_from, t AS version_to, claim_key, p.value AS before, q.value AS after, CASE WHEN p.claim_id IS NULL THEN 'ADDED' WHEN q.claim_id IS NULL THEN 'REMOVED' WHEN p.value IS NOT DISTINCT FROM q.value THEN 'UNCHANGED' ELSE 'MODIFIED' END AS kind FROM p FULL JOIN q USING (f, t, claim_key))"""
 
 
 def host(c: str) -> str:
@@ -115,30 +110,31 @@ SELECT organisation_number, coalesce(name, '') AS name, employees, co.organisati
     "key_comparison": r"""WITH d AS (SELECT regexp_replace(regexp_extract(lower(claim_key), 'org:([^|]*)', 1), '\D', '', 'g') AS a, organisation_number AS o, regexp_replace(organisation_number, '\D', '', 'g') AS b FROM raw_claims)
 SELECT CASE WHEN length(a) <> 9 THEN 'invalid' WHEN o IS NULL OR trim(o) = '' THEN 'missing' WHEN length(b) <> 9 THEN 'invalid' WHEN a = b THEN 'exact' ELSE 'mismatch' END AS result, count(*) AS n FROM d GROUP BY 1""",
     "stable_claim_keys": r"""SELECT field_name, count_if('org:' || organisation_number || '|field:' || lower(field_name) || CASE WHEN contains(claim_key, '|entity:') THEN '|entity:' || regexp_extract(claim_key, '\|entity:(.*)$', 1) ELSE '' END = claim_key) AS same, count(*) AS n FROM snapshot_claims GROUP BY 1""",
-    "snapshot_diff_claims": f"WITH {changes(3, 4)} SELECT claim_key, before, after, kind FROM ch WHERE kind <> 'UNCHANGED'",
-    "snapshot_diff_summary": rf"""WITH {changes(1, 7)} SELECT regexp_extract(claim_key, '\|field:([^|]*)', 1) AS field, count_if(kind = 'ADDED') AS added, count_if(kind = 'REMOVED') AS removed, count_if(kind = 'MODIFIED') AS modified, count_if(kind = 'UNCHANGED') AS unchanged FROM ch GROUP BY 1""",
-    "snapshot_membership": f"WITH {changes(1, 7)} SELECT count_if(kind = 'REMOVED') AS only_before, count_if(kind = 'ADDED') AS only_after, count_if(kind IN ('MODIFIED', 'UNCHANGED')) AS in_both FROM ch",
+    "snapshot_diff_claims": f"WITH {LAST} SELECT * FROM ch WHERE kind <> 'UNCHANGED'",
+    "snapshot_diff_summary": rf"""WITH {LAST} SELECT version_from, version_to, regexp_extract(claim_key, '\|field:([^|]*)', 1) AS field, count_if(kind = 'ADDED') AS added, count_if(kind = 'REMOVED') AS removed, count_if(kind = 'MODIFIED') AS modified, count_if(kind = 'UNCHANGED') AS unchanged FROM ch GROUP BY 1, 2, 3""",
+    "snapshot_membership": f"WITH {LAST} SELECT version_from, version_to, count_if(kind = 'REMOVED') AS only_before, count_if(kind = 'ADDED') AS only_after, count_if(kind IN ('MODIFIED', 'UNCHANGED')) AS in_both FROM ch GROUP BY 1, 2",
     "key_set_operations": """WITH a AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderdate < '1997-01-01'), b AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderdate >= '1997-01-01')
 SELECT 'both' AS part, count(*) AS customers FROM a JOIN b USING (o_custkey) UNION ALL SELECT 'early_only', count(*) FROM a ANTI JOIN b USING (o_custkey)
 UNION ALL SELECT 'late_only', count(*) FROM b ANTI JOIN a USING (o_custkey) UNION ALL SELECT 'either', count(*) FROM (SELECT * FROM a UNION SELECT * FROM b)""",
-    "failclosed_merge": f"""WITH {version("a", 3)}, {version("b", 4)}, f AS (SELECT * FROM b WHERE source_module NOT IN ('financials', 'roles'))
-SELECT claim_key, source_module, value, 'new' AS origin FROM f UNION ALL SELECT claim_key, source_module, value, 'carried over' FROM a WHERE source_module IN ('financials', 'roles') AND claim_key NOT IN (SELECT claim_key FROM f)""",
+    "failclosed_merge": f"""WITH {LAST}, a AS (SELECT t, claim_key, last.source_module, last.value FROM last JOIN step ON version = f WHERE t IS NOT NULL), b AS (SELECT t, claim_key, source_module, value FROM last JOIN step ON version = t), n AS (SELECT * FROM b WHERE source_module NOT IN ('financials', 'roles'))
+SELECT t AS version_to, claim_key, source_module, value, 'new' AS origin FROM n UNION ALL SELECT t, claim_key, source_module, value, 'carried over' FROM a WHERE source_module IN ('financials', 'roles') AND (t, claim_key) NOT IN (SELECT (t, claim_key) FROM n)""",
     "field_changes_by_year": """WITH y AS (SELECT o_custkey, year(o_orderdate) AS y, CAST(count(*) AS VARCHAR) AS orders, max(o_orderstatus) AS status, min(o_orderpriority) AS priority, CAST(CAST(max(o_totalprice) AS DECIMAL(12,2)) AS VARCHAR) AS largest FROM orders GROUP BY 1, 2),
  j AS (SELECT a.o_custkey, a.orders AS a1, b.orders AS b1, a.status AS a2, b.status AS b2, a.priority AS a3, b.priority AS b3, a.largest AS a4, b.largest AS b4 FROM y a JOIN y b ON a.o_custkey = b.o_custkey AND a.y = 1997 AND b.y = 1998)
 SELECT o_custkey, 'orders' AS field, a1 AS before, b1 AS after FROM j WHERE a1 IS DISTINCT FROM b1 UNION ALL SELECT o_custkey, 'status', a2, b2 FROM j WHERE a2 IS DISTINCT FROM b2
 UNION ALL SELECT o_custkey, 'priority', a3, b3 FROM j WHERE a3 IS DISTINCT FROM b3 UNION ALL SELECT o_custkey, 'largest', a4, b4 FROM j WHERE a4 IS DISTINCT FROM b4""",
-    "workforce_materiality": f"""WITH {version("a", 1)}, {version("b", 7)}, j AS (SELECT a.claim_key, {number("a.value")} AS before, {number("b.value")} AS after FROM a JOIN b USING (claim_key) WHERE a.field_name = 'employees'),
- p AS (SELECT *, after - before AS delta, CASE WHEN before = 0 THEN CASE WHEN after = 0 THEN 0.0 ELSE 100.0 END ELSE abs(after - before) * 100.0 / before END AS pct FROM j),
- m AS (SELECT *, coalesce((abs(delta) >= 10 AND pct >= 25) OR abs(delta) >= 50, false) AS material FROM p)
-SELECT claim_key, before, after, delta, CAST(round(pct, 4) AS DOUBLE) AS percent, material, CASE WHEN before IS NULL OR after IS NULL THEN 'unavailable' WHEN NOT material THEN 'none' WHEN pct >= 50 THEN 'high' ELSE 'medium' END AS severity FROM m""",
-    "period_restatement": f"""WITH s AS (SELECT organisation_number, field_name, reporting_period, version, claim_id, {number("regexp_replace(upper(value), '[A-Z.]*[A-Z][A-Z.]*', '', 'g')")} AS amount FROM snapshot_claims WHERE field_name IN ('revenue', 'total_assets') AND reporting_period IS NOT NULL),
- l AS (SELECT * FROM s WHERE version IN (1, 7) QUALIFY row_number() OVER (PARTITION BY version, organisation_number, field_name, reporting_period ORDER BY claim_id DESC) = 1),
- j AS (SELECT organisation_number, field_name, reporting_period, a.amount AS before, b.amount AS after, a.claim_id AS ai, b.claim_id AS bi FROM (SELECT * FROM l WHERE version = 1) a FULL JOIN (SELECT * FROM l WHERE version = 7) b USING (organisation_number, field_name, reporting_period))
-SELECT organisation_number, field_name, reporting_period, before, after, CASE WHEN ai IS NULL THEN 'NEW_PERIOD' WHEN bi IS NULL THEN 'PERIOD_GONE' ELSE 'RESTATED' END AS change FROM j WHERE ai IS NULL OR bi IS NULL OR before IS DISTINCT FROM after""",
-    "change_set_scores": f"""WITH {changes(3, 4)}, x AS (SELECT {TIDY.format("before")} <> {TIDY.format("after")} AS real FROM ch WHERE kind = 'MODIFIED'),
+    "workforce_materiality": rf"""WITH {LAST}, j AS (SELECT version_from, version_to, claim_key, {number("before")} AS before, {number("after")} AS after FROM ch WHERE kind IN ('MODIFIED', 'UNCHANGED') AND regexp_matches(claim_key, '\|field:employees(\||$)')),
+ pc AS (SELECT *, after - before AS delta, CASE WHEN before = 0 THEN CASE WHEN after = 0 THEN 0.0 ELSE 100.0 END ELSE abs(after - before) * 100.0 / before END AS pct FROM j),
+ m AS (SELECT *, coalesce((abs(delta) >= 10 AND pct >= 25) OR abs(delta) >= 50, false) AS material FROM pc)
+SELECT version_from, version_to, claim_key, before, after, delta, CAST(round(pct, 4) AS DOUBLE) AS percent, material, CASE WHEN before IS NULL OR after IS NULL THEN 'unavailable' WHEN NOT material THEN 'none' WHEN pct >= 50 THEN 'high' ELSE 'medium' END AS severity FROM m""",
+    "period_restatement": f"""WITH s AS (SELECT version, organisation_number, field_name, reporting_period, claim_id, {number("regexp_replace(upper(value), '[A-Z.]*[A-Z][A-Z.]*', '', 'g')")} AS amount FROM snapshot_claims WHERE field_name IN ('revenue', 'total_assets') AND reporting_period IS NOT NULL),
+ l AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY version, organisation_number, field_name, reporting_period ORDER BY claim_id DESC) = 1), step AS (SELECT version AS f, lead(version) OVER (ORDER BY version) AS t FROM (SELECT DISTINCT version FROM snapshot_claims)),
+ a AS (SELECT f, t, organisation_number, field_name, reporting_period, amount, claim_id FROM l JOIN step ON version = f WHERE t IS NOT NULL), b AS (SELECT f, t, organisation_number, field_name, reporting_period, amount, claim_id FROM l JOIN step ON version = t),
+ j AS (SELECT f, t, organisation_number, field_name, reporting_period, a.amount AS before, b.amount AS after, a.claim_id AS ai, b.claim_id AS bi FROM a FULL JOIN b USING (f, t, organisation_number, field_name, reporting_period))
+SELECT f AS version_from, t AS version_to, organisation_number, field_name, reporting_period, before, after, CASE WHEN ai IS NULL THEN 'NEW_PERIOD' WHEN bi IS NULL THEN 'PERIOD_GONE' ELSE 'RESTATED' END AS change FROM j WHERE ai IS NULL OR bi IS NULL OR before IS DISTINCT FROM after""",
+    "change_set_scores": f"""WITH {LAST}, x AS (SELECT {TIDY.format("before")} <> {TIDY.format("after")} AS real FROM ch WHERE kind = 'MODIFIED'),
  c AS (SELECT count_if(real) AS tp, count_if(NOT real) AS fp FROM x)
 SELECT tp AS true_positive, fp AS false_positive, CAST(0 AS BIGINT) AS false_negative, CASE WHEN tp + fp > 0 THEN round(tp / (tp + fp), 6) ELSE 1.0 END AS precision, CAST(1.0 AS DOUBLE) AS recall FROM c""",
-    "false_change_rate": rf"""WITH {changes(3, 4)}, x AS (SELECT regexp_extract(claim_key, '\|field:([^|]*)', 1) AS field, {TIDY.format("before")} = {TIDY.format("after")} AS same FROM ch WHERE kind = 'MODIFIED')
+    "false_change_rate": rf"""WITH {LAST}, x AS (SELECT regexp_extract(claim_key, '\|field:([^|]*)', 1) AS field, {TIDY.format("before")} = {TIDY.format("after")} AS same FROM ch WHERE kind = 'MODIFIED')
 SELECT field, count(*) AS changes, count_if(same) AS false_changes, round({share("same")}, 6) AS rate FROM x GROUP BY 1""",
     "latest_record_per_key": f"""SELECT claim_key, {US.format("retrieved_at")} AS at, claim_id, value FROM claim_updates QUALIFY row_number() OVER (PARTITION BY claim_key ORDER BY CAST(retrieved_at AS TIMESTAMPTZ) DESC NULLS LAST, claim_id DESC) = 1""",
     "version_history": "SELECT claim_key, count(DISTINCT version) AS versions, min(version) AS first, max(version) AS last, count(*) AS rows FROM snapshot_claims GROUP BY 1",

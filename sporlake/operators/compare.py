@@ -40,10 +40,10 @@ def require_same_members(before: DataFrame, after: DataFrame, key: str) -> None:
         raise ValueError(f"membership differs: {r['only_before']} keys only before, {r['only_after']} only after")
 
 
-def fail_closed_merge(previous: DataFrame, new: DataFrame, failed: DataFrame, key: str, module: str) -> DataFrame:
+def fail_closed_merge(previous: DataFrame, new: DataFrame, failed: DataFrame, keys: list[str], module: str) -> DataFrame:
     """New rows, and the previous rows of modules that failed: a failed fetch is never a deletion."""
     fresh = new.join(failed.select(module).distinct(), module, "left_anti").withColumn("origin", F.lit("new"))
-    kept = previous.join(failed.select(module).distinct(), module, "left_semi").join(fresh.select(key).distinct(), key, "left_anti").withColumn("origin", F.lit("carried over"))
+    kept = previous.join(failed.select(module).distinct(), module, "left_semi").join(fresh.select(*keys).distinct(), keys, "left_anti").withColumn("origin", F.lit("carried over"))
     return fresh.unionByName(kept)
 
 

@@ -93,7 +93,7 @@ def test_compare(spark):
     with pytest.raises(ValueError):
         C.require_same_members(a, b, "k")
     C.require_same_members(a, a, "k")
-    m = C.fail_closed_merge(a, b, spark.createDataFrame([("n",)], "m string"), "k", "m")
+    m = C.fail_closed_merge(a, b, spark.createDataFrame([("n",)], "m string"), ["k"], "m")
     assert {(r.k, r.v, r.origin) for r in m.collect()} == {("k1", "1", "new"), ("k2", None, "carried over")}
     f = C.field_changes(a, b, ["k"], ["v", "m"])
     assert [(r.k, r.field, r.before, r.after) for r in f.collect()] == [("k2", "v", None, "0")]
