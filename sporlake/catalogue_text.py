@@ -51,7 +51,7 @@ def page_certificates(spark, sf):
 @query
 def page_roles(spark, sf):
     """Roles that texts name, by language: each document counts once a role."""
-    d = table(spark, sf, "documents").select("doc_id", "lang", F.explode(F.array(*[F.when(F.col("text").rlike(M.words_pattern(w)), F.lit(r)) for r, w in M.ROLES.items()])).alias("role")).where("role is not null")
+    d = table(spark, sf, "documents").select("doc_id", "lang", F.explode(F.array(*[F.when(F.lower("text").rlike(M.words_pattern(w)), F.lit(r)) for r, w in M.ROLES.items()])).alias("role")).where("role is not null")
     return d.groupBy("lang", "role").agg(F.count("*").alias("documents"))
 
 
@@ -73,8 +73,8 @@ def page_descriptions(spark, sf):
 @query
 def org_numbers_of_documents(spark, sf):
     """Valid organisation numbers in texts, with blanks or without, and whether they are the document's own."""
-    t = F.regexp_replace(F.coalesce("text", F.lit("")), r"(?<=\d{3})[ \x{A0}](?=\d{3}(\D|$|[ \x{A0}]\d{3}))", "")
-    d = table(spark, sf, "documents").select("doc_id", "organisation_number", F.explode(F.array_distinct(F.regexp_extract_all(t, F.lit(r"(?<!\d)(\d{9})(?!\d)"), F.lit(1)))).alias("org"))
+    found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"\b(\d{9}|\d{3}[ \x{A0}]\d{3}[ \x{A0}]\d{3})\b"), F.lit(1))
+    d = table(spark, sf, "documents").select("doc_id", "organisation_number", F.explode(F.array_distinct(F.transform(found, lambda x: F.regexp_replace(x, r"\D", "")))).alias("org"))
     return d.where(K.has_valid_check(F.col("org"))).select("doc_id", "org", F.coalesce(F.col("org") == F.col("organisation_number"), F.lit(False)).alias("own"))
 
 

@@ -26,17 +26,17 @@ def ladder(rules: dict[str, Column], otherwise: str | None) -> Column:
 
 
 def words_pattern(words: tuple[str, ...]) -> str:
-    return r"(?i)(^|[^\p{L}\p{N}])(" + "|".join(w.replace(".", r"\.") for w in words) + r")($|[^\p{L}\p{N}])"
+    return r"(^|[^\p{L}\p{N}])(" + "|".join(w.replace(".", r"\.") for w in words) + r")($|[^\p{L}\p{N}])"
 
 
 def role(text: Column) -> Column:
     """Kind of a role title: the first of ROLES that is named, else OTHER."""
-    return ladder({name: text.rlike(words_pattern(words)) for name, words in ROLES.items()}, "OTHER")
+    return ladder({name: F.lower(text).rlike(words_pattern(words)) for name, words in ROLES.items()}, "OTHER")
 
 
 def head_counts(text: Column) -> Column:
     """Numbers of employees named in a text, in order: "12 ansatte", "1 200 employees"."""
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?i)\b(\d{1,3}(?:[ \x{A0}.]\d{3})+|\d{1,6}) (?:ansatte|medarbeidere|employees|people)\b"), F.lit(1))
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"\b(\d{1,3}(?:[ \x{A0}.]\d{3})+|\d{1,6}) (?:ansatte|medarbeidere|employees|people)\b"), F.lit(1))
     return F.transform(found, lambda x: F.regexp_replace(x, r"[^\d]", "").cast("long"))
 
 
@@ -48,7 +48,7 @@ def certificates(text: Column) -> Column:
 
 def phones(text: Column) -> Column:
     """Eight-digit numbers in a text, with or without country code, however grouped."""
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"((?:\+47|0047)[ \x{A0}]?\d(?:[ \x{A0}]?\d){7})(?!\d)"), F.lit(1))
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"((?:\+47|0047)[ \x{A0}]?\d(?:[ \x{A0}]?\d){7})(?:\D|$)"), F.lit(1))
     return F.array_distinct(F.transform(found, lambda x: F.substring(F.regexp_replace(x, r"\D", ""), -8, 8)))
 
 

@@ -3,10 +3,10 @@
 import pytest
 from compare import connect, differences
 
-from sporlake import catalogue, catalogue_records, catalogue_records_sql, catalogue_sql, problems, problems_sql
+from sporlake import catalogue, catalogue_records, catalogue_records_sql, catalogue_sql, catalogue_text, catalogue_text_sql, problems, problems_sql
 
-QUERIES = catalogue.QUERIES | catalogue_records.QUERIES | problems.QUERIES
-SQL = catalogue_sql.SQL | catalogue_records_sql.SQL | problems_sql.SQL
+QUERIES = catalogue.QUERIES | catalogue_records.QUERIES | catalogue_text.QUERIES | problems.QUERIES
+SQL = catalogue_sql.SQL | catalogue_records_sql.SQL | catalogue_text_sql.SQL | problems_sql.SQL
 
 
 @pytest.fixture(scope="module")
