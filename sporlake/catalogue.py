@@ -653,8 +653,12 @@ def url_safety(spark, sf):
 
 @query
 def org_numbers_in_text(spark, sf):
-    d = table(spark, sf, "discovery_results").select("result_id", F.explode(F.regexp_extract_all(F.coalesce("query", F.lit("")), F.lit(r"\b(\d{9})\b"), F.lit(1))).alias("org"))
-    return d.select("result_id", "org", K.has_valid_check(F.col("org")).alias("valid"))
+    """Nine digits, written together or in threes, in the texts of search hits and documents, and whether they carry their check digit."""
+    r, d = table(spark, sf, "discovery_results"), table(spark, sf, "documents")
+    texts = r.select(F.lit("result").alias("origin"), F.col("result_id").alias("id"), F.concat_ws(" ", "query", "title", "snippet").alias("t")).unionByName(d.select(F.lit("document").alias("origin"), F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("t")))
+    found = F.regexp_extract_all("t", F.lit(r"\b(\d{9}|\d{3}[ \x{A0}]\d{3}[ \x{A0}]\d{3})\b"), F.lit(1))
+    n = texts.select("origin", "id", F.explode(F.array_distinct(F.transform(found, lambda x: F.regexp_replace(x, r"\D", "")))).alias("org"))
+    return n.select("origin", "id", "org", K.has_valid_check(F.col("org")).alias("valid"))
 
 
 @query

@@ -352,13 +352,3 @@ def failure_classes(spark, sf):
     n = F.lower(F.coalesce("note", F.lit("")))
     kind = F.when(n.rlike("budget|exhausted"), "BUDGET").when(n.rlike("timeout|timed out"), "TIMEOUT").when(n.rlike("rate limit|429"), "RATE_LIMIT").when(n.rlike("unauthorized|forbidden|auth"), "AUTH").when(n.rlike("not found|404"), "NOT_FOUND").when(n.rlike("parse|malformed|syntax"), "PARSE").when(n.rlike("network|connection|no answer|dns"), "NETWORK").otherwise("UNKNOWN")
     return table(spark, sf, "evidence").where("status != 'available'").groupBy("status", kind.alias("failure")).agg(F.count("*").alias("n"))
-
-
-@query
-def published_days(spark, sf):
-    """Day of publication in a text: not after the day it was read, not before 2000, and not the day of reading itself."""
-    d = table(spark, sf, "documents").select("doc_id", "published_at", F.coalesce("text", F.lit("")).alias("t"))
-    found = F.coalesce(F.nullif(F.regexp_extract("t", r"\b((?:19|20)\d\d-\d\d-\d\d)\b", 1), F.lit("")), F.nullif(F.regexp_replace(F.regexp_extract("t", r"\b(\d\d\.\d\d\.(?:19|20)\d\d)\b", 1), r"^(\d\d)\.(\d\d)\.(\d{4})$", "$3-$2-$1"), F.lit("")))
-    day = found.try_cast("date")
-    ok = (day >= F.lit("2000-01-01").cast("date")) & (day <= F.lit("2026-01-01").cast("date")) & ~F.coalesce(day == F.to_date("published_at"), F.lit(False))
-    return d.select("doc_id", F.date_format(day, "yyyy-MM-dd").alias("day"), F.coalesce(ok, F.lit(False)).alias("valid")).where("day is not null")

@@ -115,6 +115,4 @@ SELECT organisation_number, n || '.no' AS domain FROM n WHERE length(n) >= 3""",
 SELECT CASE WHEN a IS NULL THEN 'claim_has_none' WHEN b IS NULL THEN 'evidence_has_none' WHEN a = b THEN 'same' ELSE 'differs' END AS result, count(*) AS n FROM d GROUP BY 1""",
     "failure_classes": """WITH d AS (SELECT status, lower(coalesce(note, '')) AS n FROM evidence WHERE status <> 'available') SELECT status, CASE WHEN regexp_matches(n, 'budget|exhausted') THEN 'BUDGET' WHEN regexp_matches(n, 'timeout|timed out') THEN 'TIMEOUT' WHEN regexp_matches(n, 'rate limit|429') THEN 'RATE_LIMIT' WHEN regexp_matches(n, 'unauthorized|forbidden|auth') THEN 'AUTH'
  WHEN regexp_matches(n, 'not found|404') THEN 'NOT_FOUND' WHEN regexp_matches(n, 'parse|malformed|syntax') THEN 'PARSE' WHEN regexp_matches(n, 'network|connection|no answer|dns') THEN 'NETWORK' ELSE 'UNKNOWN' END AS failure, count(*) AS n FROM d GROUP BY 1, 2""",
-    "published_days": r"""WITH d AS (SELECT doc_id, CAST(published_at AS DATE) AS p, coalesce(text, '') AS t FROM documents), f AS (SELECT doc_id, p, coalesce(nullif(regexp_extract(t, '\b((?:19|20)\d\d-\d\d-\d\d)\b', 1), ''), nullif(regexp_replace(regexp_extract(t, '\b(\d\d\.\d\d\.(?:19|20)\d\d)\b', 1), '^(\d\d)\.(\d\d)\.(\d{4})$', '\3-\2-\1'), '')) AS s FROM d), g AS (SELECT doc_id, p, try_cast(s AS DATE) AS day FROM f)
-SELECT doc_id, CAST(day AS VARCHAR) AS day, day BETWEEN DATE '2000-01-01' AND DATE '2026-01-01' AND NOT coalesce(day = p, false) AS valid FROM g WHERE day IS NOT NULL""",
 }

@@ -222,7 +222,9 @@ SELECT version, count(*) AS rows, CAST(sum(CAST(('0x' || substr(h, 1, 15)) AS BI
     "url_canonical": rf"""WITH d AS (SELECT DISTINCT organisation_number, website FROM companies WHERE website <> ''), h AS (SELECT *, {host("website")} AS host FROM d)
 SELECT organisation_number, website, 'https://' || host || {port("website")} || regexp_replace({url_path("website")}, '/+$', '') AS url, host, CASE WHEN len(string_split(host, '.')) > 1 THEN string_split(host, '.')[-2] ELSE host END AS label FROM h""",
     "url_safety": f"SELECT {PUBLIC} AS public, count(*) AS n FROM evidence GROUP BY 1",
-    "org_numbers_in_text": rf"""WITH d AS (SELECT result_id, unnest(regexp_extract_all(coalesce(query, ''), '\b(\d{{9}})\b', 1)) AS org FROM discovery_results) SELECT result_id, org, coalesce(CAST(substr(org, 9, 1) AS INT) = {check("org")}, false) AS valid FROM d""",
+    "org_numbers_in_text": rf"""WITH t AS (SELECT 'result' AS origin, result_id AS id, concat_ws(' ', query, title, snippet) AS t FROM discovery_results UNION ALL SELECT 'document', doc_id, coalesce(text, '') FROM documents),
+ d AS (SELECT origin, id, unnest(list_distinct(list_transform(regexp_extract_all(t, '\b(\d{{9}}|\d{{3}}[ \x{{A0}}]\d{{3}}[ \x{{A0}}]\d{{3}})\b', 1), lambda x: regexp_replace(x, '\D', '', 'g')))) AS org FROM t)
+SELECT origin, id, org, coalesce(CAST(substr(org, 9, 1) AS INT) = {check("org")}, false) AS valid FROM d""",
     "mail_addresses_in_text": r"""WITH d AS (SELECT lower(unnest(regexp_extract_all(coalesce(text, ''), '([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)', 1))) AS m FROM documents), e AS (SELECT regexp_extract(m, '@(.*)$', 1) AS domain FROM d WHERE regexp_full_match(m, '[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}'))
 SELECT domain, count(*) AS n FROM e WHERE domain <> '' GROUP BY 1""",
     "phone_numbers_in_text": r"""WITH d AS (SELECT source, replace(substr(unnest(regexp_extract_all(coalesce(text, ''), '(\+47 \d{3} \d{2} \d{3})', 1)), 4), ' ', '') AS p FROM documents), q AS (SELECT source, '+47 ' || substr(p, 1, 2) || ' ' || substr(p, 3, 2) || ' ' || substr(p, 5, 2) || ' ' || substr(p, 7, 2) AS p FROM d)

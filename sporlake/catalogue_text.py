@@ -42,12 +42,6 @@ def page_contacts(spark, sf):
     return d.groupBy("source").agg(F.count("*").alias("documents"), F.sum(F.size("p")).alias("phones"), F.count_if(F.size("p") > 0).alias("with_phone"), F.sum(F.size("t")).alias("towns"), F.count_if(F.size("t") > 0).alias("with_town"))
 
 
-@query
-def page_certificates(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.explode(M.certificates(F.col("text"))).alias("certificate"))
-    return d.groupBy("certificate").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first"))
-
-
 @query
 def page_roles(spark, sf):
     """Roles that texts name, by language: each document counts once a role."""
@@ -71,11 +65,12 @@ def page_descriptions(spark, sf):
 
 
 @query
-def org_numbers_of_documents(spark, sf):
-    """Valid organisation numbers in texts, with blanks or without, and whether they are the document's own."""
-    found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"\b(\d{9}|\d{3}[ \x{A0}]\d{3}[ \x{A0}]\d{3})\b"), F.lit(1))
-    d = table(spark, sf, "documents").select("doc_id", "organisation_number", F.explode(F.array_distinct(F.transform(found, lambda x: F.regexp_replace(x, r"\D", "")))).alias("org"))
-    return d.where(K.has_valid_check(F.col("org"))).select("doc_id", "org", F.coalesce(F.col("org") == F.col("organisation_number"), F.lit(False)).alias("own"))
+def text_days(spark, sf):
+    """The first day that a text writes out, and whether it may be its day of publication: from 2000 on, not to come, and not the day it was read unless the text says "published"."""
+    d = table(spark, sf, "documents").select("doc_id", F.to_date("published_at").alias("seen"), F.lower("text").alias("t"), M.written_day(F.col("text")).alias("day")).where("day is not null")
+    says = F.col("t").rlike("publisert|published|pressemelding|press release")
+    ok = (F.col("day") >= F.lit("2000-01-01").cast("date")) & (F.col("day") <= F.lit("2026-01-01").cast("date")) & (says | ~F.coalesce(F.col("day") == F.col("seen"), F.lit(False)))
+    return d.select("doc_id", F.date_format("day", "yyyy-MM-dd").alias("day"), ok.alias("valid"))
 
 
 # ---- search payloads and feeds, as recorded

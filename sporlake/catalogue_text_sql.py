@@ -2,7 +2,7 @@
 
 from sporlake.catalogue_records_sql import blank
 from sporlake.catalogue_sql import CO, check, collapse, folded, form, host, no_form, tokens, url_path
-from sporlake.functions.marks import CERTIFICATES, ROLES, words_pattern
+from sporlake.functions.marks import MONTHS, ROLES, day_pattern, words_pattern
 
 
 def ladder(rules: dict[str, str], otherwise: str) -> str:
@@ -30,11 +30,12 @@ SQL = {
 SELECT doc_id, CAST(len(n) AS INT) AS named, n[1] AS first, list_max(n) AS largest FROM d WHERE len(n) > 0""",
     "page_contacts": r"""WITH d AS (SELECT source, list_distinct(list_transform(regexp_extract_all(coalesce(text, ''), '((?:\+47|0047)[ \x{A0}]?\d(?:[ \x{A0}]?\d){7})(?:\D|$)', 1), lambda x: right(regexp_replace(x, '\D', '', 'g'), 8))) AS p, regexp_extract_all(coalesce(text, ''), ', (\d{4} [A-ZÆØÅ][a-zæøå]+)', 1) AS t FROM documents)
 SELECT source, count(*) AS documents, CAST(sum(len(p)) AS BIGINT) AS phones, count_if(len(p) > 0) AS with_phone, CAST(sum(len(t)) AS BIGINT) AS towns, count_if(len(t) > 0) AS with_town FROM d GROUP BY 1""",
-    "page_certificates": "WITH d AS (" + " UNION ALL ".join(f"SELECT doc_id, '{n}' AS certificate FROM documents WHERE regexp_matches(lower(coalesce(text, '')), '{p}')" for n, p in CERTIFICATES.items()) + ") SELECT certificate, count(*) AS documents, min(doc_id) AS first FROM d GROUP BY 1",
     "page_roles": "WITH d AS (" + " UNION ALL ".join(f"SELECT lang, '{r}' AS role FROM documents WHERE {role_is('text', r)}" for r in ROLES) + ") SELECT lang, role, count(*) AS documents FROM d GROUP BY 1, 2",
     "leadership_roles": f"WITH t AS (SELECT title AS t FROM discovery_results WHERE title IS NOT NULL UNION ALL SELECT replace(field_name, '_', ' ') FROM snapshot_claims) SELECT {ladder({r: role_is('t', r) for r in ROLES}, 'OTHER')} AS role, count(*) AS n FROM t GROUP BY 1",
     "page_descriptions": r"""WITH d AS (SELECT doc_id, regexp_extract(regexp_replace(text, '\s+', ' ', 'g'), '([^.!?]{60,}[.!?])', 1) AS d FROM documents) SELECT doc_id, substr(trim(d), 1, 300) AS description FROM d WHERE d <> ''""",
-    "org_numbers_of_documents": rf"""WITH d AS (SELECT doc_id, organisation_number, unnest(list_distinct(list_transform(regexp_extract_all(coalesce(text, ''), '\b(\d{{9}}|\d{{3}}[ \x{{A0}}]\d{{3}}[ \x{{A0}}]\d{{3}})\b', 1), lambda x: regexp_replace(x, '\D', '', 'g')))) AS org FROM documents) SELECT doc_id, org, coalesce(org = organisation_number, false) AS own FROM d WHERE {VALID}""",
+    "text_days": rf"""WITH d AS (SELECT doc_id, CAST(published_at AS DATE) AS seen, lower(text) AS t FROM documents), p AS (SELECT *, regexp_extract(t, '{day_pattern()}', 1) AS dd, regexp_extract(t, '{day_pattern()}', 2) AS mm, regexp_extract(t, '{day_pattern()}', 3) AS yy FROM d),
+ m AS (SELECT *, try_cast(yy || '-' || lpad(CAST(CASE mm {" ".join(f"WHEN '{m}' THEN {k}" for m, k in MONTHS.items())} END AS VARCHAR), 2, '0') || '-' || lpad(dd, 2, '0') AS DATE) AS day FROM p WHERE mm <> '')
+SELECT doc_id, CAST(day AS VARCHAR) AS day, day BETWEEN DATE '2000-01-01' AND DATE '2026-01-01' AND (regexp_matches(t, 'publisert|published|pressemelding|press release') OR NOT coalesce(day = seen, false)) AS valid FROM m WHERE day IS NOT NULL""",
     "search_payload_rows": f"""SELECT organisation_number, provider, CAST(row_number() OVER (PARTITION BY organisation_number, provider ORDER BY result_id) AS INT) AS rank, result_id, title, snippet FROM discovery_results WHERE organisation_number IS NOT NULL AND {host("url")} IS NOT NULL""",
     "feed_items": f"""WITH {CO} SELECT d.organisation_number, doc_id, CAST(year(published_at) AS INT) AS year FROM documents d JOIN co ON co.organisation_number = d.organisation_number WHERE title IS NOT NULL AND year(published_at) BETWEEN 2015 AND 2026
  AND {folded(no_form("name"))} <> '' AND contains(' ' || {folded("title")} || ' ', ' ' || {folded(no_form("name"))} || ' ')""",

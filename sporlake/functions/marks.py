@@ -16,6 +16,9 @@ ROLES = {
 #: Standards and schemes a company may be certified by (fixed values).
 CERTIFICATES = {"ISO 9001": r"iso\s*9001", "ISO 14001": r"iso\s*14001", "ISO 27001": r"iso\s*(iec\s*)?27001", "ISO 45001": r"iso\s*45001", "Miljøfyrtårn": r"milj(ø|oe)fyrt(å|aa)rn", "Svanemerket": r"svanemerke", "StartBANK": r"startbank", "Sentral godkjenning": r"sentral(t)? godkjen"}
 
+#: Months in Norwegian and English.
+MONTHS = {m: k for names in ("januar februar mars april mai juni juli august september oktober november desember", "january february march april may june july august september october november december") for k, m in enumerate(names.split(), 1)}
+
 
 def ladder(rules: dict[str, Column], otherwise: str | None) -> Column:
     """The name of the first rule that holds."""
@@ -55,3 +58,15 @@ def phones(text: Column) -> Column:
 def postal_towns(text: Column) -> Column:
     """Post codes with the town after them."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r", (\d{4} [A-ZÆØÅ][a-zæøå]+)"), F.lit(1))
+
+
+def day_pattern() -> str:
+    return r"\b(\d{1,2})\.? (" + "|".join(sorted(MONTHS)) + r") (\d{4})\b"
+
+
+def written_day(text: Column) -> Column:
+    """The first day that a text writes out ("31. mars 2021"); null if it is none."""
+    low = F.lower(text)
+    part = lambda k: F.regexp_extract(low, day_pattern(), k)
+    month = F.create_map(*[F.lit(x) for pair in MONTHS.items() for x in pair])[F.nullif(part(2), F.lit(""))]
+    return F.try_make_timestamp(part(3).try_cast("int"), month, part(1).try_cast("int"), F.lit(0), F.lit(0), F.lit(0)).cast("date")
