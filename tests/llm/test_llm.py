@@ -67,7 +67,30 @@ def test_consensus():
     ranked = [((3, 0, 0), "Oslo gate 1"), ((2, 0, 0), "Oslo veien 1"), ((1, 0, 0), "Oslo veien 1 A")]
     assert survivor.consensus(ranked)[1] == "Oslo gate 1"
     # by trust alone the middle wins: two of three say "veien", two have no "A"
-    assert survivor.consensus(ranked, "trust")[1] == "Oslo veien 1"
+    assert survivor.consensus(ranked, [4, 3, 2])[1] == "Oslo veien 1"
+
+
+@pytest.mark.parametrize("weight", ["dominant", "trust"])
+def test_order_and_partitions_do_not_show(spark, weight):
+    rng = random.Random(4)
+    k = "org:974760673|field:employees"
+    streets = ["Kirkegata", "Storgata", "Kirkegaten"]
+    data = [raw(i, k, f"{rng.choice(streets)} {rng.randrange(60)} {rng.choice('ab')} Oslo", rng.randrange(4), f"2025-01-0{rng.randint(1, 9)}T00:00:00Z") for i in range(200)]
+    seen = set()
+    for n in range(8):
+        rng.shuffle(data)
+        d = spark.createDataFrame(data, RAW).repartition(1 + n % 3)
+        e, c = spark.createDataFrame([], "evidence_id long, source_class string"), spark.createDataFrame([], "source_class string, source_authority int")
+        seen.add(tuple(rows(survivor.surviving_claims(d, e, c, weight), "group_id", "field", "claim_id")))
+    assert len(seen) == 1
+
+
+def test_votes_of_several_sources(spark):
+    k = "org:974760673|field:employees"
+    data = [raw(1, k, "Oslo gate 1", 3), raw(2, k, "Oslo veien 1", 2), raw(3, k, "oslo veien 1", 0), raw(4, k, "Oslo veien 1", 2)]
+    assert survivors(spark, data) == [(1, "value", 1)]
+    assert survivors(spark, data, weight="trust") == [(1, "value", 2)]
+    assert survivors(spark, [], weight="trust") == []
 
 
 @settings(max_examples=100, deadline=None)
