@@ -357,7 +357,7 @@ def best_candidate(spark, sf):
 
 @query
 def best_candidate_or_abstain(spark, sf):
-    return R.best_or_none(_candidates(spark, sf), ["organisation_number"], "score", [F.col("result_id")]).select("organisation_number", "result_id", "score")
+    return R.best_or_none(_candidates(spark, sf), ["organisation_number"], "score").select("organisation_number", "result_id", "score")
 
 
 @query
@@ -745,14 +745,14 @@ def order_value_rollup(spark, sf):
 def stream_window_counts(spark, sf):
     from sporlake.streaming import streams as S
 
-    return S.drain(S.windowed_counts(S.event_stream(spark, sf)), "complete", "stream_window_counts").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.col("total").cast("double").alias("total"))
+    return S.drain(S.windowed_counts(S.event_stream(spark, sf)), "complete").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.col("total").cast("double").alias("total"))
 
 
 @query
 def stream_budget_state(spark, sf):
     from sporlake.streaming import streams as S
 
-    return S.drain(S.admitted(S.event_stream(spark, sf), 500), "update", "stream_budget_state").groupBy("user_id").agg(F.max("admitted").alias("admitted"), F.max("refused").alias("refused"), F.max("spent_cents").alias("spent_cents"))
+    return S.drain(S.admitted(S.event_stream(spark, sf), 500), "update").groupBy("user_id").agg(F.max("admitted").alias("admitted"), F.max("refused").alias("refused"), F.max("spent_cents").alias("spent_cents"))
 
 
 # ---- assessments

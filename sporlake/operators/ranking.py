@@ -19,11 +19,11 @@ def latest_per(df: DataFrame, keys: list[str], at: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.max(packed).alias("_w")).select(*keys, *[F.col("_w")[c].alias(c) for c in rest])
 
 
-def best_or_none(df: DataFrame, keys: list[str], score: str, tie: list[Column]) -> DataFrame:
-    """The best row a key, or none where the two best scores are equal."""
-    w = Window.partitionBy(*keys).orderBy(F.col(score).desc(), *tie)
-    ranked = df.withColumn("_rank", F.row_number().over(w)).withColumn("_next", F.lead(score).over(w))
-    return ranked.where((F.col("_rank") == 1) & (F.col("_next").isNull() | (F.col("_next") < F.col(score)))).drop("_rank", "_next")
+def best_or_none(df: DataFrame, keys: list[str], score: str) -> DataFrame:
+    """The best row a key, or none where several have the best score; two aggregations that combine before the shuffle."""
+    rest = [c for c in df.columns if c not in (*keys, score)]
+    by_score = df.groupBy(*keys, score).agg(F.count("*").alias("_n"), F.min(F.struct(*rest)).alias("_r"))
+    return latest_per(by_score, keys, [score]).where("_n = 1").select(*keys, score, *[F.col("_r")[c].alias(c) for c in rest])
 
 
 def hash_rank(seed: str, key: str) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,20 +35,26 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder named by spark.checkpoint.dir.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder that the session names in spark.checkpoint.dir, set for checkpoints too.
 
-    A private folder is made only where the setting is absent and the master is local, as in tests.
+    A private folder is made only where the setting is absent and the master is local, as in tests; it is removed at the end.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = sc.getConf().get("spark.checkpoint.dir")
         if not folder:
             if not sc.master.startswith("local["):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="sporlake-checkpoint-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
         sc.setCheckpointDir(folder)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from sporlake.session import cut
+from sporlake.session import checkpoint_folder
 
 
 def event_stream(spark: SparkSession, folder: str, name: str = "events", files_per_trigger: int = 50) -> DataFrame:
@@ -45,11 +46,18 @@ def admitted(events: DataFrame, budget: float) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(step, out, "spent long, yes long, no long", "update", GroupStateTimeout.NoTimeout)
 
 
-def drain(stream: DataFrame, mode: str, name: str) -> DataFrame:
-    """Runs a stream over what is there and returns its result as a cut DataFrame.
+def drain(stream: DataFrame, mode: str) -> DataFrame:
+    """Runs a stream over what is there and returns its result, which is written to the shared folder and read from it.
 
-    The sink is memory, which holds results only of bounded rollups; pipelines pass their own writer.
+    In complete mode each batch replaces the one before; in update mode the rows of all batches stay, so that a key
+    has as many rows as batches that changed it. Nothing comes to the driver. A batch that is run again replaces itself.
     """
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    spark = stream.sparkSession
+    out = f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/rows/batch={0 if mode == 'complete' else number}")
+
+    q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/state").foreachBatch(write).trigger(availableNow=True).start()
     q.awaitTermination()
-    return cut(stream.sparkSession.table(name))
+    return spark.read.schema(stream.schema).parquet(f"{out}/rows")

@@ -75,7 +75,7 @@ def test_readings_round_trip(t):
 def test_ranking(spark):
     d = spark.createDataFrame([("a", 1, 5), ("a", 2, 5), ("b", 3, 1), ("b", 4, 0), ("c", 5, None)], "k string, id int, s int")
     assert {(r.k, r.id) for r in R.latest_per(d, ["k"], ["s", "id"]).collect()} == {("a", 2), ("b", 3), ("c", 5)}
-    assert {r.k for r in R.best_or_none(d.where("s is not null"), ["k"], "s", [F.col("id")]).collect()} == {"b"}
+    assert {r.k for r in R.best_or_none(d.where("s is not null"), ["k"], "s").collect()} == {"b"}
     s = R.hash_sample(d, "id", 3, "x")
     assert [r.id for r in s.collect()] == [r.id for r in R.hash_sample(d.repartition(3), "id", 3, "x").collect()]
     assert R.hash_sample(d, "id", 9, "x", exclude=s).count() == 2

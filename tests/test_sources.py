@@ -111,4 +111,4 @@ def test_stream_deduplication(spark, tmp_path):
     d = spark.createDataFrame([(1, "2024-01-01 00:00:00", "a"), (1, "2024-01-01 00:00:00", "a"), (2, "2024-01-01 00:01:00", "b")], "id int, t string, v string").select("id", F.to_timestamp("t").alias("ts"), "v")
     d.write.parquet(str(tmp_path / "events.parquet"))
     s = spark.readStream.schema(d.schema).parquet(str(tmp_path / "events.parquet"))
-    assert S.drain(S.deduplicated(s, ["id"]), "append", "dedup_test").count() == 2
+    assert S.drain(S.deduplicated(s, ["id"]), "append").count() == 2
