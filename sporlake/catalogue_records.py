@@ -276,6 +276,61 @@ def screen_checks(spark, sf):
     return out
 
 
+@query
+def modules_complete(spark, sf):
+    """Companies whose modules were all fetched, and how many they have."""
+    want = ["registry", "financials", "roles"]
+    have = F.when((F.col("status") != "not_fetched") & F.col("field").isin(*want), F.col("field"))
+    e = table(spark, sf, "evidence").where("organisation_number is not null").groupBy("organisation_number").agg(F.countDistinct(have).alias("fetched"), F.countDistinct("field").alias("modules"))
+    return e.select("organisation_number", "modules", "fetched", (F.col("fetched") == len(want)).alias("complete"))
+
+
+@query
+def labelled_share(spark, sf):
+    """Documents with a judgement and companies among them, by source."""
+    seen = table(spark, sf, "content_labels").select("doc_id").distinct()
+    d = table(spark, sf, "documents").join(seen, "doc_id", "left_semi").groupBy("source").agg(F.count("*").alias("labelled"), F.countDistinct("organisation_number").alias("companies"))
+    return table(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("documents")).join(d, "source", "left").select("source", "documents", F.coalesce("labelled", F.lit(0)).alias("labelled"), F.coalesce("companies", F.lit(0)).alias("companies"), F.round(F.coalesce("labelled", F.lit(0)) / F.col("documents"), 6).alias("share"))
+
+
+@query
+def robots_verdicts(spark, sf):
+    """Search hits that recorded robots texts forbid: the first rule of a host that fits decides."""
+    from sporlake.sources.records import robots_allowed, robots_rules
+
+    text = "User-agent: bot\nDisallow: /\n\nUser-agent: *  # all\nAllow: /kontakt/om\nDisallow: /kontakt\nDisallow:\n"
+    hosts = table(spark, sf, "discovery_results").select(U.host(F.col("url")).alias("host")).where("host like 'katalog-%'").distinct()
+    rules = robots_rules(hosts.withColumn("text", F.lit(text)))
+    return robots_allowed(table(spark, sf, "discovery_results").where("url is not null"), "url", "result_id", rules)
+
+
+@query
+def enrichment_points(spark, sf):
+    """Weighted parts of a score, each capped at its weight."""
+    parts = {"purchase": (20.0, 10), "click": (10.0, 30), "signup": (5.0, 5)}
+    n = table(spark, sf, "events").groupBy("user_id").agg(*[F.count_if(F.col("event_type") == k).alias(k) for k in parts])
+    points = {k: F.round(F.least(F.lit(1.0), F.col(k) / most) * w, 3) for k, (w, most) in parts.items()}
+    return n.select("user_id", *[p.alias(f"{k}_points") for k, p in points.items()], F.round(sum(points.values(), F.lit(0.0)), 3).alias("points"))
+
+
+@query
+def control_iterations(spark, sf):
+    """A user's score day by day as kinds of events come in, and what each day adds; days without a new kind add nothing."""
+    first = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.min(F.to_date("ts")).alias("day"))
+    by_day = first.groupBy("user_id", "day").agg(F.count("*").alias("new"))
+    w = Window.partitionBy("user_id").orderBy("day")
+    d = by_day.withColumn("score", F.least(F.lit(15), 5 * F.sum("new").over(w)).cast("int"))
+    return d.select("user_id", F.date_format("day", "yyyy-MM-dd").alias("day"), "score", (F.col("score") - F.coalesce(F.lag("score").over(w), F.lit(0))).alias("gain"))
+
+
+@query
+def evaluation_cases(spark, sf):
+    """Cases to evaluate: recorded ones first, filled up by a seeded draw."""
+    d = table(spark, sf, "discovery_results").where("organisation_number is not null").select("result_id", "organisation_number", "provider")
+    r = d.withColumn("r", R.hash_rank("cases", "result_id")).orderBy(F.desc(F.col("provider") == "replay"), "r", "result_id").limit(25)
+    return r.select("result_id", "organisation_number")
+
+
 # ---- ranking and samples
 
 

@@ -99,6 +99,13 @@ SELECT count(*) AS companies, round(avg(p), 3) AS mean, count_if(p >= 15) AS at_
 SELECT count(*) AS companies, round(avg(CAST(list_has_any(s, ['official_registry', 'official_filing']) AS INT)), 4) AS official, round(avg(CAST(list_has_any(s, ['news_publisher', 'partner_wire']) AS INT)), 4) AS press, round(avg(CAST(list_has_any(s, ['company_owned', 'structured_markup']) AS INT)), 4) AS own, round(avg(CAST(len(s) >= 2 AS INT)), 4) AS two_or_more FROM s""",
     "operation_counters": """SELECT event_type, CAST(user_id % 4 AS BIGINT) AS engine, count(*) AS n, count_if(value < 100) AS ok, round(avg(CAST(value < 100 AS INT)), 6) AS success_rate, CAST(sum(CAST(value AS DECIMAL(12,2))) AS DOUBLE) AS total, max(value) AS slowest FROM events GROUP BY 1, 2""",
     "screen_checks": f"""WITH {CO} {screened(0, "lower(legal_form) = 'as'", 5)} UNION ALL {screened(1, "coalesce(latest_submitted_accounts, '') <> ''", 3)} UNION ALL SELECT 2, ''""",
+    "modules_complete": """WITH e AS (SELECT organisation_number, count(DISTINCT field) AS modules, count(DISTINCT CASE WHEN status <> 'not_fetched' AND field IN ('registry', 'financials', 'roles') THEN field END) AS fetched FROM evidence WHERE organisation_number IS NOT NULL GROUP BY 1) SELECT *, fetched = 3 AS complete FROM e""",
+    "labelled_share": """WITH l AS (SELECT DISTINCT doc_id AS k FROM content_labels) SELECT source, count(*) AS documents, count(k) AS labelled, count(DISTINCT CASE WHEN k IS NOT NULL THEN organisation_number END) AS companies, round(count(k) / count(*), 6) AS share FROM documents LEFT JOIN l ON doc_id = k GROUP BY 1""",
+    "robots_verdicts": f"""WITH d AS (SELECT result_id, {host("url")} AS host, {url_path("url")} AS p FROM discovery_results WHERE url IS NOT NULL) SELECT result_id, host, NOT coalesce(starts_with(host, 'katalog-') AND starts_with(p, '/kontakt') AND NOT starts_with(p, '/kontakt/om'), false) AS allowed FROM d""",
+    "enrichment_points": """WITH n AS (SELECT user_id, round(least(1.0, count_if(event_type = 'purchase') / 10) * 20.0, 3) AS purchase_points, round(least(1.0, count_if(event_type = 'click') / 30) * 10.0, 3) AS click_points, round(least(1.0, count_if(event_type = 'signup') / 5) * 5.0, 3) AS signup_points FROM events GROUP BY 1) SELECT *, round(purchase_points + click_points + signup_points, 3) AS points FROM n""",
+    "control_iterations": """WITH f AS (SELECT user_id, event_type, min(CAST(ts AS DATE)) AS day FROM events GROUP BY 1, 2), d AS (SELECT user_id, day, count(*) AS n FROM f GROUP BY 1, 2), s AS (SELECT user_id, day, CAST(least(15, 5 * sum(n) OVER (PARTITION BY user_id ORDER BY day)) AS INT) AS score FROM d)
+SELECT user_id, CAST(day AS VARCHAR) AS day, score, score - coalesce(lag(score) OVER (PARTITION BY user_id ORDER BY day), 0) AS gain FROM s""",
+    "evaluation_cases": f"""SELECT result_id, organisation_number FROM discovery_results WHERE organisation_number IS NOT NULL ORDER BY (provider = 'replay') DESC NULLS LAST, {rank("CAST(result_id AS VARCHAR)", "cases")}, result_id LIMIT 25""",
     "preserved_sample": f"""WITH {CO}, k AS (SELECT DISTINCT organisation_number FROM raw_claims WHERE source_authority = 100), d AS (SELECT co.organisation_number, k.organisation_number IS NOT NULL AS kept FROM co LEFT JOIN k ON k.organisation_number = co.organisation_number WHERE latest_submitted_accounts = '2023' AND NOT bankrupt AND NOT liquidating),
  s AS (SELECT * FROM d ORDER BY kept DESC, {rank("organisation_number")}, organisation_number LIMIT 100), p AS (SELECT *, CAST(row_number() OVER (ORDER BY {rank("organisation_number", "spor-split")}, organisation_number) AS INT) AS position, count(*) OVER () AS n FROM s)
 SELECT organisation_number, kept, position, CASE WHEN position <= round(n * 0.6) THEN 'development' WHEN position <= round(n * 0.8) THEN 'validation' ELSE 'test' END AS split FROM p""",

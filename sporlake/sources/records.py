@@ -6,10 +6,11 @@ import io
 import tarfile
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sporlake.functions import urls as U
 from sporlake.operators.ranking import first_per
 from sporlake.session import cut
 
@@ -98,7 +99,25 @@ def read_cases(spark: SparkSession, path: str, schema: str) -> DataFrame:
     body = F.col("value")
     as_list = F.when(F.trim(body).startswith("["), F.from_json(body, f"array<struct<{schema}>>")).otherwise(F.coalesce(F.from_json(body, f"struct<cases:array<struct<{schema}>>>")["cases"], F.array(F.from_json(body, f"struct<{schema}>"))))
     rows = d.select(F.monotonically_increasing_id().alias("_l"), F.posexplode(as_list)).select("_l", "pos", "col.*")
-    from pyspark.sql import Window
-
     n = F.row_number().over(Window.partitionBy("case_id").orderBy("_l", "pos"))
     return rows.withColumn("_n", n).withColumn("case_id", F.when(F.col("_n") > 1, F.concat_ws("-", "case_id", F.col("_n").cast("string"))).otherwise(F.col("case_id"))).drop("_l", "pos", "_n")
+
+
+def robots_rules(robots: DataFrame) -> DataFrame:
+    """host, place, path, allow of the rules for all agents in recorded robots texts (host, text), in the order of the file.
+
+    A file's rules hold from "User-agent: *" to the next agent; comments, blank paths and other lines say nothing.
+    """
+    lines = robots.where("host is not null and text is not null").select("host", F.posexplode(F.split("text", r"\r\n|\r|\n")).alias("place", "line"))
+    part = lambda k: F.trim(F.regexp_extract(F.regexp_replace("line", "#.*$", ""), r"(?i)^\s*(user-agent|disallow|allow)\s*:\s*(.*)$", k))
+    said = lines.select("host", "place", F.lower(part(1)).alias("word"), part(2).alias("path")).where("word != ''")
+    # A file is one value; its few lines are looked at together.
+    agent = F.last(F.when(F.col("word") == "user-agent", F.col("path")), ignorenulls=True).over(Window.partitionBy("host").orderBy("place"))
+    return said.withColumn("agent", agent).where("agent = '*' and word != 'user-agent' and path != ''").select("host", "place", "path", (F.col("word") == "allow").alias("allow"))
+
+
+def robots_allowed(urls: DataFrame, url: str, id: str, rules: DataFrame) -> DataFrame:
+    """id and allowed: the first rule of the host whose path begins the address decides; without one it is allowed."""
+    u = urls.select(F.col(id), U.host(F.col(url)).alias("host"), F.concat(U.path(F.col(url)), F.when(U.query_text(F.col(url)) != "", F.concat(F.lit("?"), U.query_text(F.col(url)))).otherwise("")).alias("_at"))
+    hit = u.join(rules, "host").where(F.startswith("_at", "path")).groupBy(id).agg(F.min(F.struct("place", "allow")).alias("_r"))
+    return u.join(hit, id, "left").select(id, "host", F.coalesce("_r.allow", F.lit(True)).alias("allowed"))

@@ -112,3 +112,10 @@ def test_stream_deduplication(spark, tmp_path):
     d.write.parquet(str(tmp_path / "events.parquet"))
     s = spark.readStream.schema(d.schema).parquet(str(tmp_path / "events.parquet"))
     assert S.drain(S.deduplicated(s, ["id"]), "append").count() == 2
+
+
+def test_robots(spark):
+    text = "User-agent: *\nDisallow: /a # all of it\nAllow: /a/b\n\nUser-agent: x\nDisallow: /\n"
+    rules = records.robots_rules(spark.createDataFrame([("h.no", text), ("e.no", ""), (None, text), ("n.no", None)], "host string, text string"))
+    u = spark.createDataFrame([(1, "https://h.no/a/b"), (2, "https://www.h.no/c"), (3, "https://e.no/a"), (4, "https://o.no/a"), (5, None)], "id int, url string")
+    assert {r.id: r.allowed for r in records.robots_allowed(u, "url", "id", rules).collect()} == {1: False, 2: True, 3: True, 4: True, 5: True}
