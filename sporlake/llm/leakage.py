@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -134,18 +133,28 @@ def passage(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, int]:
 def dense(mask: np.ndarray) -> bool:
     """Whether a stretch of an item can be a passage if only the words in the mask are in the text, in whatever order."""
     c = np.concatenate(([0], np.cumsum(mask)))
-    # Three quarters of any stretch leave eight of some twelve words in a row.
-    if len(c) <= PASSAGE or (c[PASSAGE:] - c[:-PASSAGE]).max() < 8:
-        return False
     return any((c[n:] - c[:-n]).max() >= max(FOUND, SHARE * n) for n in range(PASSAGE, min(STRETCH, len(mask)) + 1))
 
 
+def _may_leak(text: np.ndarray, items: list[tuple[int, np.ndarray]]) -> Iterator[tuple[int, np.ndarray]]:
+    """The items of which a stretch can be a passage by the words that the text has; all items are looked at in one go."""
+    sizes = np.array([len(a) for _, a in items])
+    flat, ends = np.concatenate([a for _, a in items]), np.cumsum(sizes)
+    have = np.unique(text)
+    mask = have[np.minimum(np.searchsorted(have, flat), len(have) - 1)] == flat
+    c = np.concatenate(([0], np.cumsum(mask)))
+    of = np.repeat(np.arange(len(items)), sizes)[: max(0, len(flat) - PASSAGE + 1)]
+    at = np.arange(len(of))
+    # Three quarters of any stretch leave eight of some twelve words in a row.
+    for k in np.unique(of[(c[PASSAGE:] - c[:-PASSAGE] >= 8) & (at + PASSAGE <= ends[of])]).tolist():
+        if dense(mask[ends[k] - sizes[k] : ends[k]]):
+            yield items[k]
+
+
 def leaks(text: np.ndarray, items: list[tuple[int, np.ndarray]]) -> list[tuple[int, int, int]]:
     """(item, words of the passage, words found) of the items of which the words of a text hold a passage."""
-    have, hits = set(text.tolist()), {}
-    for i, item in items:
-        if not dense(np.array([x in have for x in item.tolist()], bool)):
-            continue
+    hits = {}
+    for i, item in _may_leak(text, items):
         best, parts = (0, 0), []
         # A passage spans at most twice the item's words; long texts are aligned in windows that overlap by that.
         size = 10 * len(item)
@@ -296,22 +305,28 @@ def _windows(sent):
 
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by window: each window with all its items."""
+    out: list[tuple] = []
+    key, text, items = None, None, []
 
-    def rows():
-        for batch in batches:
-            for k in range(batch.num_rows):
-                yield batch, k
+    def finish() -> None:
+        if items:
+            out.extend((key[0], *x) for x in leaks(text, items))
+            items.clear()
 
-    out: list[tuple] = []
-    for (d, _), group in groupby(rows(), key=lambda x: (x[0].column(0)[x[1]].as_py(), x[0].column(1)[x[1]].as_py())):
-        items, text = [], None
-        for batch, k in group:
-            text = batch.column(2)[k].values.to_numpy() if text is None else text
-            items.append((batch.column(3)[k].as_py(), batch.column(4)[k].values.to_numpy()))
-        out += [(d, *x) for x in leaks(text, items)]
+    for batch in batches:
+        ids, wins, classes = (batch.column(k).to_numpy() for k in (0, 1, 3))
+        words, item_words = batch.column(2), batch.column(4)
+        text_values, text_at = words.values.to_numpy(), words.offsets.to_numpy()
+        item_values, item_at = item_words.values.to_numpy(), item_words.offsets.to_numpy()
+        for k, now in enumerate(zip(ids.tolist(), wins.tolist(), strict=True)):
+            if now != key:
+                finish()
+                key, text = now, text_values[text_at[k] : text_at[k + 1]]
+            items.append((int(classes[k]), item_values[item_at[k] : item_at[k + 1]]))
         if len(out) > 5000:
             yield _found(out)
-            out = []
+            out.clear()
+    finish()
     yield _found(out)
 
 
