@@ -63,12 +63,18 @@ def smith_waterman(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
 
 def _aligned(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, int]:
     """The score of the best local alignment, and what smith_waterman() gives."""
-    ramp = GAP * np.arange(len(b) + 1)
-    h = np.zeros((len(a) + 1, len(b) + 1), np.int64)
-    for i in range(1, len(a) + 1):
-        row = np.zeros(len(b) + 1, np.int64)
-        row[1:] = np.maximum(np.where(b == a[i - 1], MATCH, -MISMATCH) + h[i - 1, :-1], h[i - 1, 1:] - GAP)
-        h[i] = np.maximum(np.maximum.accumulate(np.maximum(row, 0) + ramp) - ramp, 0)
+    ramp = GAP * np.arange(1, len(b) + 1, dtype=np.int32)
+    step = np.where(b[None, :] == a[:, None], np.int32(MATCH), np.int32(-MISMATCH))
+    h = np.zeros((len(a) + 1, len(b) + 1), np.int32)
+    for i in range(len(a)):
+        row = h[i + 1, 1:]
+        np.add(h[i, :-1], step[i], out=row)
+        np.maximum(row, h[i, 1:] - GAP, out=row)
+        np.maximum(row, 0, out=row)
+        # Gaps along the text: the best of all earlier places less their distance.
+        row += ramp
+        np.maximum.accumulate(row, out=row)
+        row -= ramp
     i, j = np.unravel_index(h.argmax(), h.shape)
     score, end, found = int(h[i, j]), int(i), 0
     while h[i, j] > 0:
@@ -143,10 +149,16 @@ def _may_leak(text: np.ndarray, items: list[tuple[int, np.ndarray]]) -> Iterator
     have = np.unique(text)
     mask = have[np.minimum(np.searchsorted(have, flat), len(have) - 1)] == flat
     c = np.concatenate(([0], np.cumsum(mask)))
-    of = np.repeat(np.arange(len(items)), sizes)[: max(0, len(flat) - PASSAGE + 1)]
-    at = np.arange(len(of))
-    # Three quarters of any stretch leave eight of some twelve words in a row.
-    for k in np.unique(of[(c[PASSAGE:] - c[:-PASSAGE] >= 8) & (at + PASSAGE <= ends[of])]).tolist():
+    of = np.repeat(np.arange(len(items)), sizes)
+
+    def having(n: int, least: int) -> np.ndarray:
+        """Items with so many words of some n in a row."""
+        at = np.flatnonzero(c[n:] - c[:-n] >= least)
+        return np.unique(of[at[at + n <= ends[of[at]]]])
+
+    # Three quarters of any stretch, and ten words, leave eight of some twelve words in a row and ten of some sixteen.
+    near = np.intersect1d(having(PASSAGE, 8), np.union1d(having(16, FOUND), np.flatnonzero(sizes < 16)))
+    for k in near.tolist():
         if dense(mask[ends[k] - sizes[k] : ends[k]]):
             yield items[k]
 
