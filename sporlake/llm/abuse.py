@@ -132,11 +132,21 @@ def _may_be(letters: list[str], most: int, odd: bool) -> bool:
     """Whether a term has about the length and the letters of a token: each edit brings or takes one letter."""
     sets, sizes = _SOME if odd else _LONG_SOME
     m, wild = np.uint64(_letters("".join(letters))), letters.count("")
-    near = sets[np.abs(sizes - len(letters)) <= most]
-    ok = np.bitwise_count(near & ~m) <= most + wild
-    if not odd:
-        ok &= np.bitwise_count(m & ~near) <= most
-    return bool(ok.any())
+    near = np.flatnonzero(np.abs(sizes - len(letters)) <= most)
+    ok = np.bitwise_count(sets[near] & ~m) <= most + wild
+    if odd:
+        return bool(ok.any())
+    ok &= np.bitwise_count(m & ~sets[near]) <= most
+    # An edit takes two pairs of neighbours away, two swapped letters three.
+    pairs = _pairs("".join(letters))
+    return any(len(_LONG_PAIRS[k] - pairs) <= 3 * most for k in near[ok].tolist())
+
+
+def _pairs(word: str) -> frozenset[str]:
+    return frozenset(map("".join, zip(word, word[1:])))
+
+
+_LONG_PAIRS = [_pairs(w) for w in _LONG]
 
 
 _ORDINARY = {plain(w) for w in X.ORDINARY}

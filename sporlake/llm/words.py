@@ -16,6 +16,9 @@ _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})|\\x([0-9a-fA-F]{2})|\\([nrt])|\\([\"'
 _INLINE = re.compile(r"</?(?:b|i|em|strong|span|a|u|s|mark|small|sub|sup|font|wbr|code)(?:\s[^<>]*)?/?>", re.I)
 _TAG = re.compile(r"</?[a-zA-Z!][^<>]*>")
 _BREAK = re.compile(r"(?<=[^\W\d_])-[ \t]*(?:\r\n|\r|\n)[>\s]*(?=[^\W\d_])")
+#: What a line-end hyphen and misread UTF-8 can't do without; both are rare, and these are quick to look for.
+_HYPHEN = re.compile(r"-[ \t]*[\r\n]")
+_MISREAD = re.compile("[ÃÂÅâðÐ][\x80-\xbf€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]")
 _NOT_ASCII = re.compile(r"[^\x00-\x7f]+")
 _GROUPED = re.compile(r"(?<=\d)[.,’'\s](?=\d{3}(?!\d))")
 _WORD = re.compile(r"[^\W_]+")
@@ -42,10 +45,12 @@ def unescape(text: str) -> str:
         text = _TAG.sub(" ", _INLINE.sub("", text))
     if "&" in text:
         text = html.unescape(text)
-    if "\n" in text or "\r" in text:
+    if _HYPHEN.search(text):
         text = _BREAK.sub("", text)
     if not text.isascii():
-        text = _HIDDEN.sub("", _NOT_ASCII.sub(_repaired, text))
+        if _MISREAD.search(text):
+            text = _NOT_ASCII.sub(_repaired, text)
+        text = _HIDDEN.sub("", text)
     return text
 
 
