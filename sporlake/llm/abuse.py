@@ -253,6 +253,11 @@ def _reading(raw: str) -> Reading:
     return r
 
 
+def _spelled(read: list[Reading], letters: list[bool]) -> bool:
+    """Whether three one-letter tokens follow one another, the last perhaps with a sign."""
+    return any(a and b and (c or len(r[0]) == 1 and len(r[0][0].text) == 1) for a, b, c, r in zip(letters, letters[1:], letters[2:], read[2:]))
+
+
 def _joined(raws: list[str]) -> list[str]:
     """Words written letter by letter with spaces as one word."""
     out, k = [], 0
@@ -290,9 +295,10 @@ def sentences(text: str) -> Iterator[list[Word]]:
     for line in _lines(text) if "\n" in text or "\r" in text else (text,):
         raws = line.split()
         read = [_reading(r) for r in raws]
-        if any(a[3] and b[3] and c[3] for a, b, c in zip(read, read[1:], read[2:])) or any(a[3] and b[3] and len(c[0]) == 1 and len(c[0][0].text) == 1 for a, b, c in zip(read, read[1:], read[2:])):
+        letters = [r[3] for r in read]
+        if letters.count(True) > 1 and _spelled(read, letters):
             read = [_reading(r) for r in _joined(raws)]
-        if not any(r[2] for r in read):
+        if True not in [r[2] for r in read]:
             yield []
             continue
         now: list[Word] = []
