@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sporlake.catalogue import companies, company_fields, delivered, delivery_changes
+from sporlake.catalogue import companies, company_fields, contract_envelopes, delivered, delivery_changes
 from sporlake.functions import registry_json as J
 from sporlake.functions import text as X
 from sporlake.functions import urls as U
@@ -131,6 +131,13 @@ def batch_checks(spark, sf):
     return V.batch_checks(e, "organisation_number", "states", companies(spark, sf).select("organisation_number"))
 
 
+@query
+def envelope_counts(spark, sf):
+    """What the parts of a company's envelope hold together: evidence, modules, ids and the longest span."""
+    p = contract_envelopes(spark, sf).select("organisation_number", "part", F.size("evidence").alias("n"), F.size("modules").alias("m"), F.array_min(F.transform("evidence", lambda e: e["evidence_id"])).alias("lo"), F.array_max(F.transform("evidence", lambda e: F.coalesce(F.length(e["span"]), F.lit(0)))).alias("span"))
+    return p.groupBy("organisation_number").agg(F.count("*").alias("parts"), F.sum("n").alias("evidence"), F.sum("m").alias("modules"), F.min("lo").alias("first_id"), F.max("span").alias("longest_span"))
+
+
 @query
 def manifest_count_differences(spark, sf):
     """Counts by source that an older run declares, against the rows: those of repeated evidence differ."""

@@ -69,6 +69,7 @@ SELECT claim_id, {names_of(CLAIM)} AS reasons FROM d""",
     "batch_checks": f"""WITH {CO}, e AS (SELECT organisation_number, bool_or(status NOT IN ('available', 'not_found', 'not_applicable', 'blocked', 'source_error')) AS bad FROM evidence WHERE organisation_number IS NOT NULL GROUP BY 1),
  j AS (SELECT e.organisation_number AS a, co.organisation_number AS b, bad FROM e FULL JOIN co USING (organisation_number)), c AS (SELECT count(a) AS rows, count(b) AS expected, CAST(0 AS BIGINT) AS repeated, count_if(a IS NULL) AS dropped, count_if(b IS NULL) AS unasked, count_if(bad) AS not_terminal FROM j)
 SELECT *, rows = expected AS exact_count, true AS unique_keys, not_terminal = 0 AS all_terminal, dropped = 0 AS no_silent_drops, unasked = 0 AS same_members, rows = expected AND not_terminal = 0 AND dropped = 0 AND unasked = 0 AS passed FROM c""",
+    "envelope_counts": """SELECT organisation_number, CAST(ceil(count(*) / 1000) AS BIGINT) AS parts, count(*) AS evidence, count(DISTINCT (field, evidence_id)) AS modules, min(evidence_id) AS first_id, CAST(max(least(length(coalesce(evidence_excerpt, '')), 300)) AS INT) AS longest_span FROM evidence WHERE organisation_number IS NOT NULL GROUP BY 1""",
     "manifest_count_differences": """WITH a AS (SELECT source_type, field, count(*) AS declared FROM (SELECT DISTINCT source_type, field, organisation_number, source_url, retrieved_at FROM evidence) GROUP BY 1, 2), b AS (SELECT source_type, field, count(*) AS observed FROM evidence GROUP BY 1, 2)
 SELECT source_type, field, declared, observed FROM a FULL JOIN b USING (source_type, field) WHERE declared IS DISTINCT FROM observed""",
     "delivery_change_counts": rf"""WITH {LAST}, {canon("ch", "before", "cb")}, b2 AS (SELECT version_from, version_to, claim_key, kind, after, cb FROM c_cb), {canon("b2", "after", "ca")},

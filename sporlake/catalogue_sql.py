@@ -262,4 +262,5 @@ SELECT CASE domain WHEN 'official-registry.kilde.example' THEN 'open' WHEN 'kild
   WHEN share = 1 THEN 0.85 WHEN share >= 0.5 THEN 0.65 WHEN share > 0 THEN 0.35 ELSE 0.1 END AS score FROM s)
 SELECT evidence_id, CAST(score AS DOUBLE) AS score, CASE WHEN score >= 0.85 THEN 'verified' WHEN score >= 0.65 THEN 'review' ELSE 'rejected' END AS status FROM c""",
     "profile_facts": f"""WITH {CO} SELECT organisation_number, CAST((employees IS NOT NULL)::INT + (nullif(website, '') IS NOT NULL)::INT + (municipality IS NOT NULL)::INT AS INT) AS facts, concat_ws(';', CASE WHEN employees IS NULL THEN 'employees are not reported' END, CASE WHEN website = '' THEN 'no website is registered' END) AS notes FROM co""",
+    "canonical_values": r"""SELECT field, count(DISTINCT (trim(regexp_replace(value ->> '$.municipality', '\s+', ' ', 'g')), value ->> '$.records')) FILTER (value IS NOT NULL) AS values FROM evidence GROUP BY 1""",
 }
