@@ -205,6 +205,16 @@ def test_meant_companies(spark):
 # ---- tokenizer
 
 
+def test_no_side_of_the_linkage_is_gathered_in_the_driver(spark, sf_small, monkeypatch):
+    plans = []
+    planned = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    cut = linkage.cut
+    monkeypatch.setattr(linkage, "cut", lambda df: planned(df) or cut(df))
+    planned(queries.p5_found(spark, sf_small))
+    # 9,903 counted forms pass for 2,631 bytes, so the planner would send forms of any register.
+    assert len(plans) == 6 and not [p for p in plans if "Broadcast" in p]
+
+
 @pytest.fixture(scope="module")
 def whole():
     """The ids of a whole text by another implementation of the same tokenizer."""
