@@ -100,6 +100,20 @@ def test_dominant_weights_follow_the_rank(data):
     assert survivor.consensus(ranked) == ranked[0]
 
 
+def test_nothing_is_aligned_where_the_rank_decides(spark, sf, monkeypatch):
+    plan = queries.p1_found(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" in plan and "Arrow" not in plan  # no pass of Python over texts
+
+    def align(*_):
+        raise AssertionError("aligned")
+
+    monkeypatch.setattr(survivor, "align", align)
+    ranked = [((2, 0, 0), "Oslo gate 1"), ((1, 0, 0), "Oslo veien 1 A")]
+    assert survivor.consensus(ranked) == ranked[0]
+    with pytest.raises(AssertionError, match="aligned"):
+        survivor.consensus(ranked, [2, 1])
+
+
 # ---- names
 
 
